@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from pairloom.llm import sql
+from pairloom.llm.decontam import op9_decontaminate
+from pairloom.llm.licenses import op6_license_scan
 from pairloom.llm.sharding import op10_hilbert_shards
 
 
 def queries() -> dict:
-    return {"op10_hilbert_shards": op10_hilbert_shards}
+    return {
+        "op6_license_scan": op6_license_scan,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_hilbert_shards": op10_hilbert_shards,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_decontaminate": sql.OP9}
