@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,22 +65,26 @@ def hilbert_table(dims: int) -> list[int]:
     return packed
 
 
-def hilbert_index(cells: list[Column], bits: int) -> Column:
-    """Curve index of integer cells of 0 to 2**bits - 1: a fold over the levels with one table lookup each."""
+def with_hilbert_index(df: DataFrame, cells: list[str], bits: int, name: str = "curve") -> DataFrame:
+    """``df`` with the curve index of integer columns of 0 to 2**bits - 1.
+
+    One column a level, each a single table lookup that two later columns read: so the
+    optimizer keeps them apart, and a level is worked out once for a row.
+    """
     n = len(cells)
     table = F.array(*[F.lit(x) for x in hilbert_table(n)])
-
-    def step(acc: Column, level: Column) -> Column:
+    kept = df.columns
+    state: Column = F.lit(0)
+    for level in range(bits - 1, -1, -1):
         digit = F.lit(0)
         for k, c in enumerate(cells):
-            bit = F.call_function("shiftright", c, level).bitwiseAND(F.lit(1))
-            digit = digit.bitwiseOR(F.shiftleft(bit, k))
-        got = F.element_at(table, (acc["state"] * F.lit(1 << n) + digit + F.lit(1)).cast("int"))
-        index = F.shiftleft(acc["h"], n).bitwiseOR(got.bitwiseAND(F.lit((1 << n) - 1)).cast("long"))
-        return F.struct(F.shiftright(got, n).alias("state"), index.alias("h"))
-
-    start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("h"))
-    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["h"])
+            digit = digit.bitwiseOR(F.shiftleft(F.shiftright(c, level).bitwiseAND(F.lit(1)), k))
+        df = df.withColumn(f"__level{level}", F.element_at(table, (state * F.lit(1 << n) + digit + F.lit(1)).cast("int")))
+        state = F.shiftright(f"__level{level}", n)
+    index = F.lit(0).cast("long")
+    for level in range(bits):
+        index = index.bitwiseOR(F.shiftleft(F.col(f"__level{level}").bitwiseAND(F.lit((1 << n) - 1)).cast("long"), n * level))
+    return df.select(*kept, index.alias(name))
 
 
 def _as_number(df: DataFrame, name: str, low, high) -> Column:
@@ -92,6 +96,14 @@ def _as_number(df: DataFrame, name: str, low, high) -> Column:
     return F.coalesce(F.conv(tail, 16, 10).cast("double"), F.lit(-1.0))
 
 
+def _cell(number: Column, bounds: list[float]) -> Column:
+    """How many of the bounds lie below a number."""
+    out = F.lit(0)
+    for b in bounds:
+        out = out + F.when(number > F.lit(float(b)), 1).otherwise(0)
+    return out
+
+
 def _metadata(docs: DataFrame, id_col: str, text_col: str, dims: list[str]) -> DataFrame:
     """What sharding needs of each row; the text itself is read once and not carried on."""
     size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long")
@@ -118,12 +130,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "rows", dims: tu
     numbers = {a: _as_number(meta, a, ends[f"min_{a}"], ends[f"max_{a}"]) for a in axes} | {"size": F.col("size").cast("double")}
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
     depth = meta.agg(*[F.percentile_approx(c, cuts, F.lit(10000)).alias(a) for a, c in numbers.items()]).first()
-
-    def cell(a: str) -> Column:
-        bounds = F.array(*[F.lit(float(x)) for x in depth[a] or []]).cast("array<double>")
-        return F.size(F.filter(bounds, lambda b: b < numbers[a])).cast("int")
-
-    keyed = meta.select("doc_id", "size", "text_crc32", hilbert_index([cell(a) for a in numbers], bits).alias("curve"))
+    keyed = meta.select("doc_id", "size", "text_crc32", *[c.alias(f"n_{a}") for a, c in numbers.items()])
+    cells = [_cell(F.col(f"n_{a}"), depth[a] or []).alias(f"c_{a}") for a in numbers]
+    keyed = with_hilbert_index(keyed.select("doc_id", "size", "text_crc32", *cells), [f"c_{a}" for a in numbers], bits)
     order = ["curve", "size", "text_crc32", "doc_id"]
     n = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
@@ -141,8 +150,6 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "rows", dims: tu
         out = out.withColumn("shard", F.expr(f"cast((rank * {shards}L) div {max(rows, 1)}L as int)"))
         out = out.withColumn("slot", F.expr(f"rank - (shard * {rows}L + {shards - 1}L) div {shards}L"))
         return scratch.finish(out.select("doc_id", "size", "text_crc32", "curve", "rank", "shard", "slot"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("run").orderBy("at")
     out = out.withColumn("rank", F.col("rows_before") + within)
     out = out.withColumn("mid", F.col("bytes_before") + F.sum("size").over(w) - F.expr("size - size div 2"))
