@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairloom.llm import sql
+from pairloom.llm.bpe import op2_bpe_round_trip
 from pairloom.llm.decontam import op9_decontaminate
 from pairloom.llm.licenses import op6_license_scan
 from pairloom.llm.sharding import op10_hilbert_shards
@@ -10,6 +11,7 @@ from pairloom.llm.sharding import op10_hilbert_shards
 
 def queries() -> dict:
     return {
+        "op2_bpe_round_trip": op2_bpe_round_trip,
         "op6_license_scan": op6_license_scan,
         "op9_decontaminate": op9_decontaminate,
         "op10_hilbert_shards": op10_hilbert_shards,
