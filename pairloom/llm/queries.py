@@ -7,12 +7,14 @@ from pairloom.llm.bpe import op2_bpe_round_trip
 from pairloom.llm.decontam import op9_decontaminate
 from pairloom.llm.licenses import op6_license_scan
 from pairloom.llm.sharding import op10_hilbert_shards
+from pairloom.llm.simhash import op8_covering_simhash
 
 
 def queries() -> dict:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op6_license_scan": op6_license_scan,
+        "op8_covering_simhash": op8_covering_simhash,
         "op9_decontaminate": op9_decontaminate,
         "op10_hilbert_shards": op10_hilbert_shards,
     }
