@@ -8,12 +8,14 @@ from pairloom.llm.decontam import op9_decontaminate
 from pairloom.llm.licenses import op6_license_scan
 from pairloom.llm.sharding import op10_hilbert_shards
 from pairloom.llm.simhash import op8_covering_simhash
+from pairloom.llm.substrings import op7_suffix_tree_dedup
 
 
 def queries() -> dict:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op6_license_scan": op6_license_scan,
+        "op7_suffix_tree_dedup": op7_suffix_tree_dedup,
         "op8_covering_simhash": op8_covering_simhash,
         "op9_decontaminate": op9_decontaminate,
         "op10_hilbert_shards": op10_hilbert_shards,
