@@ -9,11 +9,13 @@ from pairloom.llm.licenses import op6_license_scan
 from pairloom.llm.sharding import op10_hilbert_shards
 from pairloom.llm.simhash import op8_covering_simhash
 from pairloom.llm.substrings import op7_suffix_tree_dedup
+from pairloom.llm.tokenfiles import op5_token_files
 
 
 def queries() -> dict:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op5_token_files": op5_token_files,
         "op6_license_scan": op6_license_scan,
         "op7_suffix_tree_dedup": op7_suffix_tree_dedup,
         "op8_covering_simhash": op8_covering_simhash,
