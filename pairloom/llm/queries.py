@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pairloom.llm import sql
 from pairloom.llm.bpe import op2_bpe_round_trip
+from pairloom.llm.covertree import op3_cover_tree_pairs
 from pairloom.llm.decontam import op9_decontaminate
 from pairloom.llm.licenses import op6_license_scan
 from pairloom.llm.sharding import op10_hilbert_shards
@@ -15,6 +16,7 @@ from pairloom.llm.tokenfiles import op5_token_files
 def queries() -> dict:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_cover_tree_pairs": op3_cover_tree_pairs,
         "op5_token_files": op5_token_files,
         "op6_license_scan": op6_license_scan,
         "op7_suffix_tree_dedup": op7_suffix_tree_dedup,
