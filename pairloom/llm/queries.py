@@ -6,6 +6,7 @@ from pairloom.llm import sql
 from pairloom.llm.bpe import op2_bpe_round_trip
 from pairloom.llm.covertree import op3_cover_tree_pairs
 from pairloom.llm.decontam import op9_decontaminate
+from pairloom.llm.htmlextract import op1_html_text
 from pairloom.llm.licenses import op6_license_scan
 from pairloom.llm.sharding import op10_hilbert_shards
 from pairloom.llm.simhash import op8_covering_simhash
@@ -15,6 +16,7 @@ from pairloom.llm.tokenfiles import op5_token_files
 
 def queries() -> dict:
     return {
+        "op1_html_text": op1_html_text,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_cover_tree_pairs": op3_cover_tree_pairs,
         "op5_token_files": op5_token_files,
