@@ -8,6 +8,7 @@ from pairloom.llm.covertree import op3_cover_tree_pairs
 from pairloom.llm.decontam import op9_decontaminate
 from pairloom.llm.htmlextract import op1_html_text
 from pairloom.llm.licenses import op6_license_scan
+from pairloom.llm.quality import op4_quality_classifier
 from pairloom.llm.sharding import op10_hilbert_shards
 from pairloom.llm.simhash import op8_covering_simhash
 from pairloom.llm.substrings import op7_suffix_tree_dedup
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op1_html_text": op1_html_text,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_cover_tree_pairs": op3_cover_tree_pairs,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_token_files": op5_token_files,
         "op6_license_scan": op6_license_scan,
         "op7_suffix_tree_dedup": op7_suffix_tree_dedup,
