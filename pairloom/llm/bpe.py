@@ -192,6 +192,13 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
+
+
 def _mapped(docs: DataFrame, text_col: str, more: list[tuple[str, str, pa.DataType]], row, keep_text: bool) -> DataFrame:
     """``docs`` with what ``row(text)`` gives; names of ``more`` replace equal names of ``docs``."""
     names = {n for n, _, _ in more}
@@ -205,7 +212,7 @@ def _mapped(docs: DataFrame, text_col: str, more: list[tuple[str, str, pa.DataTy
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 got = [row(t.as_py()) for t in part.column(at)]
-                cols = [pa.array([g[k] for g in got], t) for k, (_, _, t) in enumerate(more)]
+                cols = [_column([g[k] for g in got], t) for k, (_, _, t) in enumerate(more)]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *cols], names=[*[f.name for f in fields], *[n for n, _, _ in more]])
 
     plain = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"{n} {t}" for n, t, _ in more]])
@@ -252,6 +259,18 @@ def encode_and_decode(docs: DataFrame, text_col: str = "text", path: str | None
     return _mapped(docs, text_col, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], row, keep_text)
 
 
+def encode_whole(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` without the text, with ids, n_tokens and the digest of what the ids decode to."""
+    path = path or default_path()
+
+    def row(text):
+        t = tokenizer(path)
+        ids = np.frombuffer(t.encode(text), "<u4")
+        return ids.astype(np.int32), len(ids), hashlib.sha256(t.decode(ids.tolist())).hexdigest()
+
+    return _mapped(docs, text_col, [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "long", pa.int64()), ("decoded_sha256", "string", pa.string())], row, keep_text=False)
+
+
 def op2_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return encode_and_decode(docs.select("doc_id", "text"))

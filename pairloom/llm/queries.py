@@ -15,8 +15,15 @@ from pairloom.llm.substrings import op7_suffix_tree_dedup
 from pairloom.llm.tokenfiles import op5_token_files
 
 
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_html_text": op1_html_text,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_cover_tree_pairs": op3_cover_tree_pairs,

@@ -209,6 +209,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.finish(out) if scratch is None else out
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each component, as they came, and one of those with one id.
+
+    Rows with a null id stay. The result reads one small table that stays in the scratch folder.
+    """
+    own = Scratch(docs.sparkSession, "copies")
+    found = simhash_components(docs, id_col, text_col, **options)
+    kept = own.write(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__n"), F.min("component_id").alias("__c")).where("doc_id = __c").select(F.col("doc_id").alias("__id"), "__n"), "kept")
+    out = docs.join(kept.where("__n = 1"), docs[id_col] == kept["__id"], "left_semi")
+    if kept.where("__n > 1").take(1):
+        out = out.unionAll(docs.join(kept.where("__n > 1"), docs[id_col] == kept["__id"], "left_semi").dropDuplicates([id_col]))
+    return out.unionAll(docs.where(docs[id_col].isNull()))
+
+
 def op8_covering_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

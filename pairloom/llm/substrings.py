@@ -182,6 +182,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 20, prefix
     found = marked.mapInArrow(find, "h long, t1 long, t2 long, pos int, doc long").repartition("h").sortWithinPartitions("h", "t1", "t2", "pos", "doc")
     places = scratch.write(found.mapInArrow(shared, "doc long, t1 long, t2 long, pos long"), "places")
     per_text = scratch.write(places.groupBy("doc", "t1", "t2").agg(F.collect_list("pos").alias("at")), "per_text")
+    scratch.drop(places)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 3, 1 << 20):
@@ -283,21 +284,29 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 20, prefix
     joined = marked.join(per_text, ["doc", "t1", "t2"]).select("doc", "t1", "t2", "text", "at")
     dealt = joined.mapInArrow(suffixes, "h long, doc long, t1 long, t2 long, pos int, lo int, hi int, ctx binary").repartition("h").sortWithinPartitions("h", "doc", "pos")
     both = scratch.write(dealt.mapInArrow(trees, f"{_ROWS}, w1 long, w2 long"), "windows")
+    scratch.drop(per_text)
     hot = both.where("w1 IS NOT NULL").repartition("w1").sortWithinPartitions("w1", "w2", "doc", "a")
-    return both.where("w1 IS NULL").select("doc", "t1", "t2", "a", "b").unionAll(hot.mapInArrow(later, _ROWS))
+    found = scratch.write(both.where("w1 IS NULL").select("doc", "t1", "t2", "a", "b").unionAll(hot.mapInArrow(later, _ROWS)), "found")
+    scratch.drop(both)
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, prefix: int = 8, group_rows: int = 100_000, kept_col: str | None = "kept", scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` without the text column, with n_words, n_removed, kept_sha256 and the kept words, joined by one space, as ``kept_col``."""
+    """``docs`` without the text column, with n_words, n_removed, kept_sha256 and, as ``kept_col``, the kept words joined by one space.
+
+    A text that loses nothing is kept as it is. With ``kept_col`` the result is not
+    checkpointed, and reads one small table that stays in the scratch folder.
+    """
     own = scratch or Scratch(docs.sparkSession, "substrings")
     news = ["n_words", "n_removed", "kept_sha256", *([kept_col] if kept_col else [])]
     keep = [c for c in docs.columns if c != text_col and c not in news]
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     plain = docs.select(doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = own.write(repeated_windows(plain, own, window, prefix, group_rows), "found")
+    found = repeated_windows(plain, own, window, prefix, group_rows)
     classes = plain.select("doc", *_identity(F.col("text"))).groupBy("t1", "t2").agg(F.min("doc").alias("least"))
     cut = found.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("cut"))
     facts = own.write(classes.join(cut, ["t1", "t2"], "left"), "facts")
+    own.drop(found)
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(*[F.col(c).alias(f"p{k}") for k, c in enumerate(keep)], doc.alias("doc"), *_identity(text), text.alias("text"))
     whole = whole.join(facts, ["t1", "t2"]).select(*[f"p{k}" for k in range(len(keep))], (F.col("doc") != F.col("least")).alias("copy"), "cut", "text")
@@ -313,7 +322,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if copy and len(w) >= window:
                         out.append((len(w), len(w), b""))
                     elif copy or not cuts:
-                        out.append((len(w), 0, b" ".join(w)))
+                        out.append((len(w), 0, b" ".join(w), t))
                     else:
                         gone = np.zeros(len(w) + 1, np.int64)
                         np.add.at(gone, [c["a"] for c in cuts], 1)
@@ -323,12 +332,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         out.append((len(w), int(gone.sum()), b" ".join(x for i, j in zip(a.tolist(), b.tolist()) for x in w[i : j + 1])))
                 cols = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out])]
                 if kept_col:
-                    cols.append(pa.array([x[2].decode("utf-8", "replace") for x in out], pa.string()))
+                    cols.append(pa.array([x[3] if len(x) > 3 else x[2].decode("utf-8", "replace") for x in out], pa.string()))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(n)], *cols], names=[*[f"p{k}" for k in range(n)], *[f"q{k}" for k in range(len(cols))]])
 
     types = [f"p{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)] + ["q0 long", "q1 long", "q2 string", *(["q3 string"] if kept_col else [])]
     out = whole.mapInArrow(finish, ", ".join(types)).toDF(*keep, *news)
-    return own.finish(out) if scratch is None else out
+    return own.finish(out) if scratch is None and not kept_col else out
 
 
 def op7_suffix_tree_dedup(spark, sf_dir: str) -> DataFrame:
