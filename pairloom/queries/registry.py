@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 FLAGSHIP = "rules_decision_counts"
-_MODULES: list[str] = []
+_MODULES: list[str] = ["q_rules"]
 
 
 def _merged(name: str) -> dict:
