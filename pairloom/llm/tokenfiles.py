@@ -20,6 +20,8 @@ table gives an empty manifest and no rows.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import uuid
 import zlib
@@ -32,7 +34,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.bpe import _Words, default_path
+from pairloom.llm.bpe import default_path
 from pairloom.llm.words import mix
 from pairloom.plans.scratch import Scratch
 
@@ -41,45 +43,96 @@ FOOTER = struct.Struct("<8Q8s")  # width, documents, nulls, keys, and where keys
 NO_KEY = -(1 << 63)
 
 
+TAIL = b".,!?;:#$%&*|()"
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library, asked once for each word that is not in the cache.
+    """Ids by the tokenizers library, asked once for each word that is not in a cache.
 
-    White space ends every piece of this tokenizer, and its special tokens hold none.
+    White space ends every piece of this tokenizer, its special tokens hold none, and a
+    run of marks after a letter or digit is a piece of its own: so a text is cut into
+    words, and a word into what comes before such a run and the run. New parts go to
+    the library many at a time, with a special token between them.
     """
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        kinds = [x["type"] for x in __import__("json").loads(self.library.to_str())["pre_tokenizer"]["pretokenizers"]]
-        if kinds != ["Split", "ByteLevel"]:
+        spec = json.loads(self.library.to_str())
+        kinds = [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
+        kinds += [x["type"] for x in spec["normalizer"]["normalizers"]]
+        special = [x for x in spec["added_tokens"] if x["special"] and not (x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"])]
+        if kinds != ["Split", "ByteLevel", "NFC", "Replace", "Lowercase"] or not special:
             raise ValueError(f"{path}: words of this tokenizer can't be encoded apart")
+        self.between, self.between_id = special[0]["content"], special[0]["id"]
+        self.specials = [x["content"].encode() for x in spec["added_tokens"]]
+        self.sign = os.path.commonprefix(self.specials)  # a word without it has no special token, in either case of letters
+        if not self.sign or self.sign.lower() != self.sign.upper():
+            raise ValueError(f"{path}: special tokens have no common beginning to know them by")
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self.word = _Words(self._word, cache)
-
-    def _word(self, word: bytes) -> bytes:
-        return self._ids([word])[0]
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        got = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+        self.most = cache
+        self.word: dict[bytes, bytes] = {}
+        self.word_before: dict[bytes, bytes] = {}
+        self.part: dict[bytes, bytes] = {}
+        self.part_before: dict[bytes, bytes] = {}
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """What the library is asked for: the two parts of a word, the first with A-Z in lower case."""
+        if self.sign in word:
+            return word, b""
+        core = word.rstrip(TAIL)
+        if len(core) == len(word):
+            return word.lower(), b""
+        last = core[-4:].decode("utf-8", "ignore").lower()[-1:]  # a letter may become a letter and a mark
+        if last.isalpha() or last.isdecimal():
+            return core.lower(), word[len(core) :]
+        return word.lower(), b""
+
+    def _ask(self, parts: list[bytes]) -> list[bytes]:
+        alone = [self.sign in p for p in parts]
+        out: dict[bytes, bytes] = {}
+        for p in [p for p, a in zip(parts, alone) if a]:
+            out[p] = np.array(self.library.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        rest = [p for p, a in zip(parts, alone) if not a]
+        runs_ = [rest[k : k + 200] for k in range(0, len(rest), 200)]
+        for run, got in zip(runs_, self.library.encode_batch_fast([self.between.join(p.decode() for p in r) for r in runs_], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            raw, cut = ids.tobytes(), (4 * np.flatnonzero(ids == self.between_id)).tolist()
+            if len(cut) != len(run) - 1:
+                raise ValueError("the library has joined parts that a special token was between")
+            out.update(zip(run, (raw[a:b] for a, b in zip([0, *[c + 4 for c in cut]], [*cut, len(raw)]))))
+        return [out[p] for p in parts]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as bytes of little-endian unsigned 32-bit integers."""
         split = [(t or "").encode().split() for t in texts]
-        word = self.word
-        new = list({w for s in split for w in s if w not in word})
-        if len(new) > 1:
-            if len(word) + len(new) > word.most:
-                word.clear()
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                word.update(zip(part, self._ids(part)))
+        every = {w for s in split for w in s}
+        self.word, self.word_before = _aged(self.word, self.word_before, every, self.most)
+        self.part, self.part_before = _aged(self.part, self.part_before, (), self.most)
+        word, part = self.word, self.part
+        new = [w for w in every if w not in word]
+        cut = [self._parts(w) for w in new]
+        needed = {p for two in cut for p in two}
+        old = self.part_before
+        part.update((p, old[p]) for p in needed if p in old and p not in part)
+        ask = [p for p in needed if p and p not in part]
+        part.update(zip(ask, self._ask(ask)))
+        part[b""] = b""
+        word.update(zip(new, [part[a] + part[b] for a, b in cut]))
         return [b"".join([word[w] for w in s]) for s in split]
 
 
+def _aged(now: dict, before: dict, wanted, most: int) -> tuple[dict, dict]:
+    """A cache in two halves: a full one becomes the old one, from which what is wanted comes back."""
+    if len(now) > most // 2:
+        now, before = {}, now
+    now.update((w, before[w]) for w in wanted if w in before and w not in now)
+    return now, before
+
+
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
