@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 FLAGSHIP = "rules_decision_counts"
-_MODULES: list[str] = ["q_rules"]
+_MODULES: list[str] = ["q_rules", "q_labels", "q_metrics", "q_data"]
 
 
 def _merged(name: str) -> dict:
