@@ -81,7 +81,7 @@ class TreeModel:
         for f in seen[False].keys() | seen[True].keys():
             kind = "element" if f[0] in ".h" else "#text"
             p = [math.log((seen[y][f] + smooth) / (total[y][kind] + 2 * smooth)) for y in (False, True)]
-            most = strongest if kind == "element" else 0.3 * strongest  # runs of one list or table say much the same
+            most = strongest if kind == "element" else 0.15 * strongest  # runs of one list or table say much the same
             evidence[f] = max(-most, min(most, p[1] - p[0]))
         edges = {}
         for key, n in pairs.items():
