@@ -215,12 +215,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows with a null id stay. The result reads one small table that stays in the scratch folder.
     """
     own = Scratch(docs.sparkSession, "copies")
-    found = simhash_components(docs, id_col, text_col, **options)
-    kept = own.write(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__n"), F.min("component_id").alias("__c")).where("doc_id = __c").select(F.col("doc_id").alias("__id"), "__n"), "kept")
-    out = docs.join(kept.where("__n = 1"), docs[id_col] == kept["__id"], "left_semi")
-    if kept.where("__n > 1").take(1):
-        out = out.unionAll(docs.join(kept.where("__n > 1"), docs[id_col] == kept["__id"], "left_semi").dropDuplicates([id_col]))
-    return out.unionAll(docs.where(docs[id_col].isNull()))
+    found = simhash_components(docs, id_col, text_col, **options).where("doc_id IS NOT NULL")
+    ids = own.write(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).where("n > 1 OR doc_id != c").select(F.col("doc_id").alias("__id"), "n", "c"), "ids")
+    # what goes is the smaller part, so this join moves the texts only where that part is large too
+    out = docs.join(ids, docs[id_col] == ids["__id"], "left_anti")
+    twice = ids.where("n > 1 AND __id = c")
+    if twice.take(1):
+        out = out.unionAll(docs.join(twice, docs[id_col] == twice["__id"], "left_semi").dropDuplicates([id_col]))
+    return out
 
 
 def op8_covering_simhash(spark, sf_dir: str) -> DataFrame:
