@@ -250,22 +250,27 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 20, prefix
         return pa.RecordBatch.from_arrays([*got.columns, *[pa.nulls(got.num_rows, t) for t in blank.values()]], names=[*got.schema.names, *blank])
 
     def whole(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        """Each window of these suffixes with two hashes of its words, for the sorted stream."""
+        """A part of a large group: what repeats within it is told here; the first of each window goes on, as two hashes."""
+        flags = _window_flags(rows, window, prefix)
+        told = _intervals(rows, flags)
         n = len(rows["pos"])
+        taken = np.zeros((n, left + 1), bool)
+        taken[flags[:, 0], rows["pos"][flags[:, 0]] - flags[:, 1]] = True
         ctx = np.zeros((n, left + window, 8), np.uint8)
         ctx[:, :, :PACK] = rows["ctx"].reshape(n, left + window, PACK)
         ids = ctx.view("<u8")[:, :, 0].astype(np.uint64)
         out = []
         for o in range(left + 1):
             start = rows["pos"] - o
-            ok = np.flatnonzero((start >= rows["lo"]) & (start <= rows["hi"]))
+            ok = np.flatnonzero((start >= rows["lo"]) & (start <= rows["hi"]) & ~taken[:, o])
             h1, h2 = np.zeros(len(ok), np.uint64), np.zeros(len(ok), np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(window):
                     x = mix(ids[ok, left - o + k] + np.uint64(k + 1))
                     h1, h2 = h1 * np.uint64(0xD6E8FEB86659FD93) + x, (h2 ^ x) * np.uint64(0x9FB21C651E98DF25)
             out.append([rows["doc"][ok], rows["t1"][ok], rows["t2"][ok], start[ok].astype(np.int32), start[ok].astype(np.int32), mix(h1).view(np.int64), mix(h2).view(np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc", "t1", "t2", "a", "b", *blank])
+        cols = [pa.concat_arrays([c, pa.array(np.concatenate(o))]) for c, o in zip([*told.columns, *[pa.nulls(told.num_rows, t) for t in blank.values()]], zip(*out))]
+        return pa.RecordBatch.from_arrays(cols, names=[*told.schema.names, *blank])
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of windows sorted by their hashes, then place: all but the first place of each."""
