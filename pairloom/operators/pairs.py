@@ -12,10 +12,13 @@ def block_pairs(records: DataFrame, keys: list[str], id_col: str = "PATID", carr
     """PATID_A < PATID_B of records that share all keys (none of them null), with <carry>_a and <carry>_b.
 
     An equi-join with a residual comparison; adaptive execution splits a large block's side.
+    One side is dealt by id first: where the other is small enough to be broadcast, the
+    pairs, of which there are many more than records, are then made by all tasks.
     """
     carry = carry or []
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = lambda s: records.dropna(subset=keys).select(*keys, F.col(id_col).alias(f"PATID_{s.upper()}"), *[F.col(c).alias(f"{c}_{s}") for c in carry])
-    return side("a").join(side("b"), keys).where("PATID_A < PATID_B").drop(*keys)
+    return side("a").repartition(n, "PATID_A").join(side("b"), keys).where("PATID_A < PATID_B").drop(*keys)
 
 
 def block_sizes(records: DataFrame, keys: list[str]) -> DataFrame:
