@@ -259,8 +259,8 @@ ORACLES = {f"serialize_mode{k}": _text(k) for k in (1, 2, 3, 4)} | {
     "dup_flag": "SELECT conv_id, turn, md5(text) AS h, row_number() OVER (PARTITION BY md5(text) ORDER BY conv_id, turn) > 1 AS again FROM conversations",
     "entity_disjoint": f"SELECT count(*) FILTER (u < 0.15) AS held_out, count(*) FILTER (u >= 0.15) AS rest, 0 AS shared FROM (SELECT {_u(42, 'c_custkey')} AS u FROM customer)",
     "sample_exact_n": f"SELECT o_orderkey FROM orders ORDER BY {_md5(42, 'o_orderkey')}, o_orderkey LIMIT 200",
-    "sample_one_pos_two_neg": f"WITH s AS (SELECT PATID_A, PATID_B, label FROM ({SCORED})), n AS (SELECT count(*) FILTER (label = 1) AS p FROM s), b AS (SELECT * FROM s WHERE label = 1 UNION ALL SELECT PATID_A, PATID_B, label FROM (SELECT *, row_number() OVER (ORDER BY {_md5(42, 'PATID_A', 'PATID_B')}, PATID_A, PATID_B) AS r FROM s WHERE label = 0), n WHERE r <= 2 * p) SELECT * FROM b ORDER BY {_md5(43, 'PATID_A', 'PATID_B')}, PATID_A, PATID_B LIMIT 1200",
-    "automl_filter": f"WITH s AS (SELECT PATID_A, PATID_B, label, pred AS prediction, row_number() OVER (PARTITION BY label ORDER BY CAST(label <> pred AS INTEGER) DESC, {_md5(42, 'PATID_A', 'PATID_B')}, PATID_A, PATID_B) AS r FROM ({SCORED})), n AS (SELECT least(400, count(*)) AS p FROM s WHERE label = 1) SELECT PATID_A, PATID_B, label, prediction FROM s, n WHERE (label = 1 AND r <= 400) OR (label = 0 AND r <= 2 * p)",
+    "sample_one_pos_two_neg": f"WITH s AS (SELECT PATID_A, PATID_B, label FROM ({SCORED})), n AS (SELECT count(*) FILTER (label = 1) AS p FROM s), b AS (SELECT * FROM s WHERE label = 1 UNION ALL SELECT PATID_A, PATID_B, label FROM (SELECT *, row_number() OVER (ORDER BY {_md5(42, 'PATID_A', 'PATID_B')}, PATID_A, PATID_B) AS r FROM s WHERE label = 0), n WHERE r <= 2 * p OR (SELECT count(*) FROM s) < 1200) SELECT * FROM b ORDER BY {_md5(43, 'PATID_A', 'PATID_B')}, PATID_A, PATID_B LIMIT 1200",
+    "automl_filter": f"WITH s AS (SELECT PATID_A, PATID_B, label, pred AS prediction, row_number() OVER (PARTITION BY label ORDER BY CAST(label <> pred AS INTEGER) DESC, {_md5(42, 'PATID_A', 'PATID_B')}, PATID_A, PATID_B) AS r FROM ({SCORED})), n AS (SELECT least(400, count(*)) AS p FROM s WHERE label = 1) SELECT PATID_A, PATID_B, label, prediction FROM s, n WHERE (SELECT count(*) FROM s) < 1200 OR (label = 1 AND r <= 400) OR (label = 0 AND r <= 2 * p)",
     "top_per_class": f"SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY {_md5(7, 'l_orderkey', 'l_linenumber')}, l_orderkey, l_linenumber) <= 50",
     "weighted_choice": f"SELECT c_custkey, CASE WHEN u < 0.5 THEN 'A' WHEN u < 0.8 THEN 'B' ELSE 'C' END AS v FROM (SELECT c_custkey, {_u('w', 'c_custkey')} AS u FROM customer)",
 }
