@@ -93,7 +93,7 @@ LONG_NAME = {"last_name": "'VILLARREAL'"}
 
 #: Matches: band, changes of both records, changes of the copy.
 MATCHES: dict[str, tuple[str, dict[str, str], dict[str, str]]] = {
-    "M-NOSSN-01": ("control", NO_ID, {}), "M-NOSSN-02": ("none", NO_ID, MOVE), "M-NOSSN-03": ("none", NO_ID, MOVE), "M-NOSSN-04": ("none", NO_ID | THIN, {"middle_name": "CASE WHEN middle_name IS NULL THEN 'R' END"}),
+    "M-NOSSN-01": ("control", NO_ID, {}), "M-NOSSN-02": ("none", NO_ID, MOVE), "M-NOSSN-03": ("none", NO_ID, MOVE), "M-NOSSN-04": ("none", NO_ID | THIN, {"first_name": typo("first_name")}),
     "M-NOSSN-05": ("none", NO_ID, {"last_name": typo("last_name")}), "POL-AMBIG-03": ("ambiguous", NO_ID, OTHER_PHONE | {"email": f"CASE WHEN d < 0.5 AND email IS NOT NULL THEN {OTHER_MAIL} ELSE email END"}),
     "M-SSN-01": ("control", {}, {}), "M-SSN-02": ("full", {}, {"last_name": typo("last_name"), "first_name": typo("first_name")}), "M-SSN-03": ("full", {"middle_name": "coalesce(middle_name, 'L')"}, {"middle_name": NULL} | MOVE_NEAR),
     "M-SSN-04": ("full", {"sex": "'FEMALE'", "first_name": "'LINDA'"}, {"last_name": f"CASE WHEN s_last_name = last_name THEN 'NEWMAN' ELSE s_last_name END"}), "M-SSN-05": ("full", {}, MOVE), "M-SSN-06": ("full", {}, {"address": "s_address", "city": "'GARY'", "state": "'IN'", "zip": "'46402'"}),
@@ -126,6 +126,14 @@ def gap(lo: int, hi: int) -> dict[str, str]:
 
 
 FAR = {"dob": "cast(add_months(cast(a_dob as date), CASE WHEN d < 0.5 THEN 84 ELSE -108 END) as string)"}
+KEYS = ("last_name", "dob", "address", "ssn4", "phone")
+
+
+def shared(i: int) -> str:
+    """Whether a bulk non-match shares key i: one, two or three of the keys, those of the least draws, are shared."""
+    return f"{' + '.join(f'cast(k{j} < k{i} as int)' for j in range(len(KEYS)) if j != i)} < CASE WHEN d < 0.58 THEN 1 WHEN d < 0.88 THEN 2 ELSE 3 END"
+
+
 COMMON = SAME("first_name", "last_name") | FAR | NO_ID
 #: Non-matches: changes of the first record, then of the second with a_<field> for the first.
 NONMATCHES: dict[str, tuple[str, dict[str, str], dict[str, str]]] = {
@@ -139,7 +147,7 @@ NONMATCHES: dict[str, tuple[str, dict[str, str], dict[str, str]]] = {
     "NM-IDF-01": ("hard", NO_ID | {"address": "'100 SHELTER WAY'"}, SAME(*HOME) | UNLIKE_FIRST | NO_ID), "NM-IDF-02": ("hard", NO_ID, SAME("phone") | UNLIKE_FIRST | NO_ID), "NM-IDF-03": ("hard", NO_ID | {"email": "'FAMILY@GMAIL.COM'"}, SAME("email") | UNLIKE_FIRST | NO_ID), "NM-IDF-04": ("hard", NO_ID, SAME("phone", *HOME) | UNLIKE_FIRST | NO_ID),
     "NM-IDF-05": ("hard", NO_ID | {"email": "'A1@GMAIL.COM'"}, SAME("last_name") | {"email": "'B2@GMAIL.COM'"} | UNLIKE_FIRST | NO_ID), "NM-PED-01": ("hard", NO_ID | CHILD, SAME("last_name", "phone", *HOME) | UNLIKE_FIRST | NO_ID), "NM-PED-02": ("hard", NO_ID | CHILD, SAME("dob", *HOME) | UNLIKE_FIRST | NO_ID),
     "NM-BND-01": ("hard", NO_ID | THIN, THIN | NO_ID | SAME("dob") | UNLIKE_FIRST | UNLIKE_LAST), "NM-BND-02": ("hard", NO_ID | THIN, THIN | NO_ID | SAME("first_name", "last_name") | {"dob": "cast(add_months(cast(a_dob as date), -96) as string)"}),
-    "NM-HARD": ("bulk", LAST4, LAST4 | {f: f"CASE WHEN k{i} < 0.4 THEN a_{f} ELSE {f} END" for i, f in enumerate(("last_name", "dob", "ssn4", "phone"))} | {"zip": "CASE WHEN k0 >= 0.4 AND k1 >= 0.4 AND k2 >= 0.4 AND k3 >= 0.4 THEN a_zip ELSE zip END"} | UNLIKE_FIRST),
+    "NM-HARD": ("bulk", LAST4, LAST4 | {f: f"CASE WHEN {shared(i)} THEN a_{f} ELSE {f} END" for i, key in enumerate(KEYS) for f in (HOME if key == "address" else (key,))} | UNLIKE_FIRST),
 }
 
 
@@ -184,7 +192,7 @@ def nonmatches(spark: SparkSession, n: int, seed: int, first: int, easy: float =
     """n non-matches of entities ``first``, ``first`` + 1, ...; shares of easy cases and of the named hard ones, the rest forced."""
     r = lambda s: u(s, "eid", seed)
     case = _choose(cases, r("case")) if cases else f"CASE WHEN {r('band')} < {easy} THEN {_choose(_cases(NONMATCHES, ('easy',)), r('case'))} WHEN {r('band')} < {easy + named} THEN {_choose(_cases(NONMATCHES, ('hard',)), r('case'))} ELSE 'NM-HARD' END"
-    df = spark.range(0, n).selectExpr(f"{first} + 2 * id AS eid").withColumn("case_type", F.expr(case)).withColumn("d", F.expr(r("draw"))).withColumns({f"k{i}": F.expr(r(f"key{i}")) for i in range(4)})
+    df = spark.range(0, n).selectExpr(f"{first} + 2 * id AS eid").withColumn("case_type", F.expr(case)).withColumn("d", F.expr(r("draw"))).withColumns({f"k{i}": F.expr(r(f"key{i}")) for i in range(len(KEYS))})
     df = _records(df, "eid", seed, "")
     df = df.withColumns({f: F.expr(_by_case(f, {c: x[1] for c, x in NONMATCHES.items()}, f)) for f in FEATURES}).withColumnsRenamed({f: f"a_{f}" for f in FEATURES})
     df = _records(df, "(eid + 1)", seed, "")
@@ -192,7 +200,7 @@ def nonmatches(spark: SparkSession, n: int, seed: int, first: int, easy: float =
     # no two entities may agree on first and last name, date and address at once
     same = " AND ".join(f"{f}_l <=> {f}_r" for f in ("first_name", "last_name", "dob", "address"))
     df = df.withColumn("first_name_r", F.expr(f"CASE WHEN {same} THEN concat(first_name_r, 'A') ELSE first_name_r END"))
-    keys = F.concat_ws("+", *[F.when(F.col(f"{f}_l") == F.col(f"{f}_r"), f.upper()) for f in ("last_name", "dob", "ssn4", "phone", "zip")])
+    keys = F.concat_ws("+", *[F.when(F.col(f"{f}_l") == F.col(f"{f}_r"), f.upper()) for f in KEYS])
     df = df.withColumn("case_type", F.when(F.col("case_type") == "NM-HARD", F.concat_ws("-", F.lit("NM-HARD"), keys)).otherwise(F.col("case_type")))
     ids = {"PATID_A": F.expr("concat('E', eid)"), "PATID_B": F.expr("concat('E', eid + 1)"), "entity_id_a": F.col("eid"), "entity_id_b": F.col("eid") + 1}
     return _finish(df.withColumns(ids), 0)
