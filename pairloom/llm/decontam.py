@@ -3,14 +3,17 @@
 Each shard (a few MB of whole texts) is a word array with one suffix array; every
 suffix of the benchmark items is binary-searched in it. Before sorting, positions
 whose run of benchmark vocabulary is shorter than the shortest window are left out:
-no window can begin there, so the array keeps every suffix that can match.
+no window can begin there, so the array keeps every suffix that can match. A match of
+an item lies within a run of hit words, so the longest verbatim match of an item, with
+its places in the text and in the item, is read off the item's suffix automaton there.
 
 Only the benchmark is broadcast, in blocks of at most ``block_words`` words; each
 block is one more pass over the texts, and the passes are merged by row.
 
 Defined results: a null or wordless text has no hits and is not contaminated;
 wordless and null items match nothing; a null item_id is listed as the empty string;
-repeated items are listed once; repeated documents are each reported; an empty
+repeated items are listed once; of equally long matches the first in the text, then in
+the item, is told; of an item longer than a block, the longest within one block; repeated documents are each reported; an empty
 table on either side gives no rows or no hits; other columns pass through.
 """
 
@@ -27,8 +30,68 @@ from pyspark.sql import functions as F
 from pairloom.llm.words import ALNUM_LOWER, runs, slices, words
 from pairloom.plans.scratch import Scratch
 
-REPORT = "n_words long, n_hit long, longest long, spans array<struct<first:long,last:long>>, item_ids array<string>"
-_ARROW = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("item_ids", pa.list_(pa.string()))]
+SPANS = "array<struct<first:long,last:long>>"
+MATCHES = "array<struct<item_id:string,length:long,text_first:long,item_first:long>>"
+REPORT = f"n_words long, n_hit long, longest long, spans {SPANS}, item_ids array<string>, matches {MATCHES}"
+_MATCH = pa.struct([("item_id", pa.string()), ("length", pa.int64()), ("text_first", pa.int64()), ("item_first", pa.int64())])
+_ARROW = [
+    ("n_words", pa.int64()),
+    ("n_hit", pa.int64()),
+    ("longest", pa.int64()),
+    ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+    ("item_ids", pa.list_(pa.string())),
+    ("matches", pa.list_(_MATCH)),
+]
+
+
+class Automaton:
+    """Suffix automaton of an item's words: ``longest`` finds the longest run that a text shares with it."""
+
+    def __init__(self, words: list[int]):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length, self.end = [-1], [0], [-1]
+        last = 0
+        for at, word in enumerate(words):
+            new = self._state({}, self.length[last] + 1, at)
+            p = last
+            while p >= 0 and word not in self.next[p]:
+                self.next[p][word] = new
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][word]
+                if self.length[q] == self.length[p] + 1:
+                    self.link[new] = q
+                else:
+                    twin = self._state(dict(self.next[q]), self.length[p] + 1, self.end[q])
+                    self.link[twin] = self.link[q]
+                    while p >= 0 and self.next[p].get(word) == q:
+                        self.next[p][word] = twin
+                        p = self.link[p]
+                    self.link[q] = self.link[new] = twin
+            else:
+                self.link[new] = 0
+            last = new
+
+    def _state(self, to: dict[int, int], length: int, end: int) -> int:
+        self.next.append(to)
+        self.link.append(0)
+        self.length.append(length)
+        self.end.append(end)  # where the state's runs end first
+        return len(self.next) - 1
+
+    def longest(self, words: list[int]) -> tuple[int, int, int]:
+        """Length of the longest shared run, and where it begins in ``words`` and in the item."""
+        state = size = 0
+        best = (0, 0, 0)
+        for at, word in enumerate(words):
+            while state and word not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if word in self.next[state]:
+                state, size = self.next[state][word], size + 1
+            if size > best[0]:
+                best = (size, at - size + 1, self.end[state] - size + 1)
+        return best
 
 
 class TestSuffixes:
@@ -36,16 +99,20 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        w = words(pa.array([t for _, t in items], pa.string()), ALNUM_LOWER)
+    def __init__(self, items: list[tuple[str, str, int]], window: int):
+        w = words(pa.array([t for _, t, _ in items], pa.string()), ALNUM_LOWER)
         self.vocabulary = np.unique(w.hash)
         ids = (np.searchsorted(self.vocabulary, w.hash) + 1).astype(">u4")
-        found: dict[tuple[int, bytes], set[str]] = {}
-        for k, (item, _) in enumerate(items):
+        found: dict[tuple[int, bytes], set[int]] = {}
+        self.words: list[list[int]] = []
+        for k in range(len(items)):
             a, b = int(w.first[k]), int(w.first[k + 1])
+            self.words.append(ids[a:b].tolist())
             size = min(window, b - a)
             for p in range(a, b - size + 1) if size else ():
-                found.setdefault((size, ids[p : p + size].tobytes()), set()).add(item)
+                found.setdefault((size, ids[p : p + size].tobytes()), set()).add(k)
+        self.of = [(item, offset) for item, _, offset in items]
+        self.automata: dict[int, Automaton] = {}
         self.depth = max([size for size, _ in found], default=0)
         self.least = min([size for size, _ in found], default=0)
         self.sizes = np.array([size for size, _ in found], np.int64)
@@ -53,6 +120,20 @@ class TestSuffixes:
         self.ends = np.array([key.ljust(4 * self.depth, b"\xff") for _, key in found] or [b""], f"S{4 * self.depth or 1}")
         self.items = list(found.values())
 
+    def longest(self, k: int, spans: list[tuple[int, list[int]]]) -> dict:
+        """The longest match of item k within spans, each given by its place in the text and its words."""
+        if k not in self.automata:
+            if len(self.automata) >= 256:
+                self.automata.clear()
+            self.automata[k] = Automaton(self.words[k])
+        item, offset = self.of[k]
+        out = {"item_id": item, "length": 0, "text_first": 0, "item_first": 0}
+        for first, words_ in spans:
+            length, at, own = self.automata[k].longest(words_) if len(words_) > out["length"] else (0, 0, 0)
+            if length > out["length"]:
+                out |= {"length": length, "text_first": first + at, "item_first": offset + own}
+        return out
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers from 1 for words of the vocabulary, 0 for others."""
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(len(self.vocabulary) - 1, 0))
@@ -73,7 +154,7 @@ def _search(column: pa.Array, test: TestSuffixes) -> list[tuple]:
     n_texts = len(column)
     ids = np.zeros(len(w.hash) + n_texts, ">u4")  # a zero after each text keeps matches inside it
     place = np.arange(len(w.hash)) + w.text
-    none = [(int(c), 0, 0, [], []) for c in w.counts]
+    none = [(int(c), 0, 0, [], [], []) for c in w.counts]
     if not len(w.hash) or not test.depth:
         return none
     ids[place] = test.ids(w.hash)
@@ -102,15 +183,26 @@ def _search(column: pa.Array, test: TestSuffixes) -> list[tuple]:
     out = none
     base = w.first[:-1] + np.arange(n_texts)
     for t, found in hits.items():
-        own = hit[base[t] : base[t] + w.counts[t]]
-        s, e = runs(own)
-        names = sorted(set().union(*(test.items[k] for k in found)))
-        out[t] = (int(w.counts[t]), int(own.sum()), int((e - s + 1).max()), [{"first": int(x), "last": int(y)} for x, y in zip(s, e)], names)
+        inside = slice(base[t], base[t] + w.counts[t])
+        own, own_ids = hit[inside], ids[inside]
+        s, e = (x.tolist() for x in runs(own))
+        spans = [(x, own_ids[x : y + 1].tolist()) for x, y in zip(s, e)]
+        best: dict[str, dict] = {}
+        for k in sorted(set().union(*(test.items[k] for k in found))):
+            m = test.longest(k, spans)
+            if m["item_id"] not in best or _better(m, best[m["item_id"]]):
+                best[m["item_id"]] = m
+        matches = [best[i] for i in sorted(best)]
+        out[t] = (int(w.counts[t]), int(own.sum()), max(m["length"] for m in matches), [{"first": x, "last": y} for x, y in zip(s, e)], sorted(best), matches)
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int, window: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks whose texts have at most ``block_words`` words; a longer item comes in overlapping pieces."""
+def _better(m: dict, than: dict) -> bool:
+    return (-m["length"], m["text_first"], m["item_first"]) < (-than["length"], than["text_first"], than["item_first"])
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int, window: int) -> Iterator[list[tuple[str, str, int]]]:
+    """Items, with the place of their first word, in blocks whose texts have at most ``block_words`` words; a longer item comes in overlapping pieces."""
     block, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
     for row in rows.toLocalIterator():
@@ -122,13 +214,13 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
             if block and size + n > block_words:
                 yield block
                 block, size = [], 0
-            block.append((row["i"], piece))
+            block.append((row["i"], piece, p))
             size += n
     if block:
         yield block
 
 
-def _pass(docs: DataFrame, text_col: str, items: list[tuple[str, str]], window: int) -> DataFrame:
+def _pass(docs: DataFrame, text_col: str, items: list[tuple[str, str, int]], window: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index(text_col)
 
@@ -144,7 +236,11 @@ def _pass(docs: DataFrame, text_col: str, items: list[tuple[str, str]], window:
 
 
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 1_000_000) -> DataFrame:
-    """The columns of ``docs`` with n_words, n_hit, longest, spans and item_ids of each row.
+    """The columns of ``docs`` with n_words, n_hit, longest, spans, item_ids and matches of each row.
+
+    ``spans`` are the runs of hit words; ``matches`` has, for each item that occurs, its
+    longest verbatim match and where it begins in the text and in the item; ``longest`` is
+    the length of the longest of these.
 
     Names of the report replace equal names of ``docs``. With one block of items, which
     a benchmark of up to ``block_words`` words is, the plan has no shuffle.
@@ -168,9 +264,15 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     spans = spans.withColumn("reach", F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("n", F.sum(F.when(F.col("first") <= F.col("reach") + 1, 0).otherwise(1)).over(w))
     spans = spans.groupBy("__row", "n").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    spans = spans.groupBy("__row").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n_hit"), F.max(F.col("last") - F.col("first") + 1).alias("longest"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    named = out.select("__row", "n_words", F.explode_outer("item_ids").alias("i")).groupBy("__row").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("i")).alias("item_ids"))
-    found = named.join(spans, "__row", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "longest": F.coalesce("longest", F.lit(0)), "spans": F.coalesce("spans", F.array().cast("array<struct<first:long,last:long>>"))})
+    spans = spans.groupBy("__row").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n_hit"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    order = F.struct(-F.col("m.length"), F.col("m.text_first"), F.col("m.item_first"))
+    best = out.select("__row", F.explode("matches").alias("m")).groupBy("__row", "m.item_id").agg(F.min_by("m", order).alias("m"))
+    best = best.groupBy("__row").agg(F.max("m.length").alias("longest"), F.sort_array(F.collect_list("m")).alias("matches"))
+    best = best.withColumn("item_ids", F.transform("matches", lambda m: m["item_id"]))
+    counts = out.groupBy("__row").agg(F.max("n_words").alias("n_words"))
+    found = counts.join(spans, "__row", "left").join(best, "__row", "left")
+    none = {"n_hit": F.lit(0), "longest": F.lit(0), "spans": F.array().cast(SPANS), "item_ids": F.array().cast("array<string>"), "matches": F.array().cast(MATCHES)}
+    found = found.withColumns({c: F.coalesce(c, v) for c, v in none.items()})
     return keyed.join(found, "__row").select(*docs.columns, *report)
 
 
@@ -200,4 +302,4 @@ def items_digest(names: list[str]) -> str:
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = scan_benchmark(docs.select("doc_id", "text"), bench)
-    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "longest", "spans")
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))

@@ -74,8 +74,21 @@ def test_shards(spark, law):
 def test_decontamination_is_that_of_sql(spark):
     from pairloom.llm import sql
 
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    check(decontam.op9_decontaminate(spark, SF).select(*names), connect(SF), sql.OP9)
+    check(decontam.op9_decontaminate(spark, SF), connect(SF), sql.OP9)
+
+
+def longest_matches(w, items, named):
+    """Of each item in ``named``: length, place in the text and in the item of the longest run that both have."""
+    best = {}
+    for i, v in items:
+        key = "" if i is None else str(i)
+        for p, q in itertools.product(range(len(w)), range(len(v))) if key in named else ():
+            n = 0
+            while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                n += 1
+            if n and (-n, p, q) < best.get(key, (0, 0, 0)):
+                best[key] = (-n, p, q)
+    return {k: (-n, p, q) for k, (n, p, q) in best.items()}
 
 
 def test_decontamination_by_brute_force(spark):
@@ -102,6 +115,10 @@ def test_decontamination_by_brute_force(spark):
     for block in (1_000_000, 25):
         got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["item_ids"]) for x in decontam.scan_benchmark(df, bench, block_words=block).collect()}
         assert got == {i: plain(t) for i, t in docs}
+        for x in decontam.scan_benchmark(df, bench, block_words=block).collect():
+            if block > 30:  # no item in pieces
+                assert {m["item_id"]: tuple(m)[1:] for m in x["matches"]} == longest_matches(split(dict(docs)[x["doc_id"]]), [(i, split(t)) for i, t in items], x["item_ids"])
+            assert x["longest"] == max([m["length"] for m in x["matches"]], default=0)
     kept = decontam.drop_contaminated(df, bench)
     assert kept.columns == df.columns and kept.count() == sum(not (h and 20 * h >= n) for n, h, _ in map(plain, [t for _, t in docs]))
     assert decontam.scan_benchmark(df, bench.limit(0)).where("n_hit > 0").count() == 0
