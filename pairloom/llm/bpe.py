@@ -6,8 +6,11 @@ changes three leaves, each in logarithmic time, until the root holds no pair. Th
 vocabulary file, its normaliser and its pre-tokeniser are those of the public
 tokenizer whose path is given; nothing is trained.
 
-White space ends every piece, so a text is encoded word by word and the ids of
-words are kept in a bounded cache of each worker.
+White space ends every piece, so a text is encoded word by word. Normaliser and
+pre-tokeniser are the library's own, so that letters are those of its version of Unicode;
+words of printable ASCII, where the rules are plain, are split here. The merges are
+all done here. The ids of words are kept in a cache of each worker, bounded in number
+and, as longer words are not kept, in bytes.
 
 Defined results: a null text is the empty text, with no ids; repeated rows are each
 encoded; texts of any length are taken whole; an empty table gives no rows.
@@ -17,18 +20,20 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-NONE = 1 << 62
-PLACE = 24  # bits for a pair's place within a key
+NONE = 1 << 100
+KEPT = 64  # bytes of the longest word whose ids are kept
+#: Runs of letters, single digits, runs of other marks, after the endings that stand alone.
+ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+PRINTABLE = bytes(range(0x21, 0x7F))
 
 
 class PairTree:
@@ -69,10 +74,11 @@ def merge(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
     found = [get(symbols[i] << 32 | symbols[i + 1]) for i in range(n - 1)]
     if not any(found):
         return symbols
-    tree = PairTree([f[0] << PLACE | i if f else NONE for i, f in enumerate(found)])
+    place = n.bit_length()  # bits of a pair's place within a key
+    tree = PairTree([f[0] << place | i if f else NONE for i, f in enumerate(found)])
     symbols = symbols[:]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    node, mask = tree.node, (1 << PLACE) - 1
+    node, mask = tree.node, (1 << place) - 1
     while node[1] != NONE:
         i = node[1] & mask
         j = after[i]
@@ -85,13 +91,13 @@ def merge(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
         if k < n:
             before[k] = i
             f = get(symbols[i] << 32 | symbols[k])
-            tree.set(i, f[0] << PLACE | i if f else NONE)
+            tree.set(i, f[0] << place | i if f else NONE)
         else:
             tree.set(i, NONE)
         h = before[i]
         if h >= 0:
             f = get(symbols[h] << 32 | symbols[i])
-            tree.set(h, f[0] << PLACE | h if f else NONE)
+            tree.set(h, f[0] << place | h if f else NONE)
     return [s for s in symbols if s >= 0]
 
 
@@ -117,7 +123,9 @@ class _Words(dict):
     def __missing__(self, word):
         if len(self) >= self.most:
             self.clear()
-        self[word] = out = self.make(word)
+        out = self.make(word)
+        if len(word) <= KEPT:
+            self[word] = out
         return out
 
 
@@ -125,6 +133,8 @@ class SegmentTreeBPE:
     """Encoder and decoder for a tokenizer file with NFC, white space, lower case; split by its pattern; word ends."""
 
     def __init__(self, path: str, cache: int = 400_000):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -132,35 +142,36 @@ class SegmentTreeBPE:
         if kinds != ["NFC", "Replace", "Lowercase"] or byte_level["type"] != "ByteLevel" or byte_level["add_prefix_space"] or not split["invert"] or spec["decoder"] is not None:
             raise ValueError(f"{path}: another normaliser, pre-tokeniser or decoder than this encoder has")
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
-        letters = byte_letters()
-        self.first = [vocab[c] for c in letters]
-        self.last = [vocab[c + end] for c in letters]
+        self.first = {c: vocab[c] for c in byte_letters()}
+        self.last = {c: vocab[c + end] for c in byte_letters()}
         self.pairs = {}
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
             self.pairs.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.by_id = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.token = [self.by_id.get(i, "").encode() for i in range(max(self.by_id) + 1)]
-        self.pieces_of = regex.compile(split["pattern"]["Regex"]).findall
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        library = Tokenizer.from_file(path)
+        self.normalize, self.pieces_of = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.piece = _Words(self._piece, cache)
         self.word = _Words(self._word, cache)
 
     def _piece(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        symbols = [self.first[b] for b in raw]
-        symbols[-1] = self.last[raw[-1]]
+        """``piece``: its bytes as letters."""
+        first = self.first
+        symbols = [first[c] for c in piece]
+        symbols[-1] = self.last[piece[-1]]
         return array("I", merge(symbols, self.pairs)).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         piece = self.piece
-        return b"".join([piece[p] for p in self.pieces_of(word.decode("utf-8", "surrogatepass"))])
+        if not word.translate(None, PRINTABLE):
+            return b"".join([piece[p.decode()] for p in ASCII_PIECES(word.lower())])
+        return b"".join([piece[p] for p, _ in self.pieces_of(self.normalize(word.decode()))])
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         word = self.word
-        return b"".join([word[w] for w in text.lower().encode("utf-8", "surrogatepass").split()])
+        return b"".join([word[w] for w in text.encode().split()])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as the bytes of little-endian unsigned 32-bit integers."""

@@ -34,7 +34,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.bpe import default_path
+from pairloom.llm.bpe import KEPT, default_path
 from pairloom.llm.words import mix
 from pairloom.plans.scratch import Scratch
 
@@ -51,8 +51,11 @@ class LibraryEncoder:
 
     White space ends every piece of this tokenizer, its special tokens hold none, and a
     run of marks after a letter or digit is a piece of its own: so a text is cut into
-    words, and a word into what comes before such a run and the run. New parts go to
-    the library many at a time, with a special token between them.
+    words, and a word into what comes before such a run and the run. Whether a character
+    is a letter or digit to its end (some become a letter and a mark) is asked of the
+    library's own normaliser and pre-tokeniser, once for each character. New parts go to
+    the library many at a time, with a special token between them. Parts of over KEPT
+    bytes are not kept.
     """
 
     def __init__(self, path: str, cache: int = 800_000):
@@ -78,18 +81,25 @@ class LibraryEncoder:
         self.word_before: dict[bytes, bytes] = {}
         self.part: dict[bytes, bytes] = {}
         self.part_before: dict[bytes, bytes] = {}
+        self.ends: dict[str, bool] = {}
+
+    def _ends_before_marks(self, last: str) -> bool:
+        """Whether marks after this character are a piece of their own."""
+        if last not in self.ends:
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(last) + TAIL.decode())
+            self.ends[last] = len(pieces) > 1 and pieces[-1][0] == TAIL.decode()
+        return self.ends[last]
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """What the library is asked for: the two parts of a word, the first with A-Z in lower case."""
+        """What the library is asked for: the two parts of a word, in lower case if it is ASCII (else NFC comes before that)."""
         if self.sign in word:
             return word, b""
+        ascii_only = word.isascii()
+        word = word.lower() if ascii_only else word
         core = word.rstrip(TAIL)
-        if len(core) == len(word):
-            return word.lower(), b""
-        last = core[-4:].decode("utf-8", "ignore").lower()[-1:]  # a letter may become a letter and a mark
-        if last.isalpha() or last.isdecimal():
-            return core.lower(), word[len(core) :]
-        return word.lower(), b""
+        if not core or len(core) == len(word) or not (core[-1:].isalnum() if ascii_only else self._ends_before_marks(core.decode()[-1])):
+            return word, b""
+        return core, word[len(core) :]
 
     def _ask(self, parts: list[bytes]) -> list[bytes]:
         alone = [self.sign in p for p in parts]
@@ -122,7 +132,11 @@ class LibraryEncoder:
         part.update(zip(ask, self._ask(ask)))
         part[b""] = b""
         word.update(zip(new, [part[a] + part[b] for a, b in cut]))
-        return [b"".join([word[w] for w in s]) for s in split]
+        out = [b"".join([word[w] for w in s]) for s in split]
+        for cache, keys in ((word, new), (part, ask)):
+            for long in [k for k in keys if len(k) > KEPT]:
+                del cache[long]
+        return out
 
 
 def _aged(now: dict, before: dict, wanted, most: int) -> tuple[dict, dict]:

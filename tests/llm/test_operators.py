@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -176,6 +177,45 @@ def test_bpe_is_the_library(library):
         assert own.decode(want) == library.decode(want, skip_special_tokens=False).encode()
 
 
+def test_bpe_of_all_code_points(library):
+    """Every code point alone, between letters, beside marks, and beside combining marks."""
+    own, by_words = bpe.SegmentTreeBPE(bpe.default_path()), tokenfiles.LibraryEncoder(bpe.default_path())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    forms = [lambda x: x, lambda x: f"a{x}b"]
+    for start in range(0, len(every), 1 << 17):
+        part = every[start : start + (1 << 17)]
+        if start == 0:
+            own_marks = tokenfiles.TAIL.decode()
+            forms += [lambda x, k=k: f"a{x}{own_marks[(ord(x) + k) % len(own_marks)]}" for k in (0, 5)]
+            forms += [lambda x: f"{x}.", lambda x: f".{x}a", lambda x: f"e\u0301{x},", lambda x: f"{x}\u0301;", lambda x: f"{x}\u0331\u0307!"]
+        else:  # ideographs and private use
+            forms = forms[:1]
+        for form in forms:
+            texts = [form(x) for x in part]
+            want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+            assert by_words.encode_all(texts) == want
+            assert [own.encode(t) for t in texts] == want
+
+
+def test_bpe_before_every_mark(library):
+    """Each letter whose normal form is longer, and a letter of each kind, before every mark."""
+    by_words = tokenfiles.LibraryEncoder(bpe.default_path())
+    letters = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and (len(by_words.library.normalizer.normalize_str(chr(c))) > 1 or c % 97 == 0)]
+    texts = [f"a{x}{m}" for x in [*letters, "H\u0331", "J\u030c", "\u1100\u1161", "\u1100\u1161\u11a8"] for m in tokenfiles.TAIL.decode()]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert by_words.encode_all(texts) == want
+
+
+def test_bpe_of_long_pieces(library):
+    """One word of over 2**24 bytes, within a time that only n log n work meets."""
+    text = "ab" * (1 << 20) + "." + "the" * 1000
+    began = time.time()
+    assert np.frombuffer(bpe.SegmentTreeBPE(bpe.default_path()).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert time.time() - began < 120
+    keys = [5 << (1 << 25).bit_length() | i for i in range(1 << 24, (1 << 24) + 9)]
+    assert bpe.PairTree(keys).node[1] == keys[0]
+
+
 def test_bpe_columns(spark, library):
     texts = some_texts()
     df = docs_of(spark, texts).withColumn("n_tokens", F.lit("clash"))
