@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.bpe import KEPT, default_path
-from pairloom.llm.words import mix
+from pairloom.llm.words import mix, slices
 from pairloom.plans.scratch import Scratch
 
 MAGIC = b"PLTOKEN1"
@@ -90,16 +90,15 @@ class LibraryEncoder:
             self.ends[last] = len(pieces) > 1 and pieces[-1][0] == TAIL.decode()
         return self.ends[last]
 
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """What the library is asked for: the two parts of a word, in lower case if it is ASCII (else NFC comes before that)."""
-        if self.sign in word:
-            return word, b""
-        ascii_only = word.isascii()
-        word = word.lower() if ascii_only else word
-        core = word.rstrip(TAIL)
-        if not core or len(core) == len(word) or not (core[-1:].isalnum() if ascii_only else self._ends_before_marks(core.decode()[-1])):
-            return word, b""
-        return core, word[len(core) :]
+    def _parts(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """What the library is asked for: the two parts of each word, in lower case if it is ASCII (else NFC comes before that)."""
+        sign, ends = self.sign, self._ends_before_marks
+        words = [w.lower() if w.isascii() and sign not in w else w for w in words]
+        cores = [w.rstrip(TAIL) for w in words]
+        return [
+            (w, b"") if len(c) == len(w) or not c or sign in w or not (c[-1:].isalnum() if c[-1] < 128 else ends(c.decode()[-1])) else (c, w[len(c) :])
+            for w, c in zip(words, cores)
+        ]
 
     def _ask(self, parts: list[bytes]) -> list[bytes]:
         alone = [self.sign in p for p in parts]
@@ -119,16 +118,10 @@ class LibraryEncoder:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as bytes of little-endian unsigned 32-bit integers."""
         split = [(t or "").encode().split() for t in texts]
-        every = {w for s in split for w in s}
-        self.word, self.word_before = _aged(self.word, self.word_before, every, self.most)
-        self.part, self.part_before = _aged(self.part, self.part_before, (), self.most)
+        self.word, self.word_before, new = _known(self.word, self.word_before, set().union(*split), self.most)
+        cut = self._parts(new)
+        self.part, self.part_before, ask = _known(self.part, self.part_before, {p for two in cut for p in two if p}, self.most)
         word, part = self.word, self.part
-        new = [w for w in every if w not in word]
-        cut = [self._parts(w) for w in new]
-        needed = {p for two in cut for p in two}
-        old = self.part_before
-        part.update((p, old[p]) for p in needed if p in old and p not in part)
-        ask = [p for p in needed if p and p not in part]
         part.update(zip(ask, self._ask(ask)))
         part[b""] = b""
         word.update(zip(new, [part[a] + part[b] for a, b in cut]))
@@ -139,12 +132,13 @@ class LibraryEncoder:
         return out
 
 
-def _aged(now: dict, before: dict, wanted, most: int) -> tuple[dict, dict]:
-    """A cache in two halves: a full one becomes the old one, from which what is wanted comes back."""
+def _known(now: dict, before: dict, wanted: set, most: int) -> tuple[dict, dict, list]:
+    """A cache in two halves, and what is in neither: a full half becomes the old one, from which what is wanted comes back."""
     if len(now) > most // 2:
         now, before = {}, now
-    now.update((w, before[w]) for w in wanted if w in before and w not in now)
-    return now, before
+    missing = wanted.difference(now)
+    now.update({w: before[w] for w in missing if w in before})
+    return now, before, [w for w in missing if w not in before]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -319,8 +313,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         shard = TaskContext.get().partitionId()
         encoder, writer, low, high = library_encoder(vocabulary_path), None, None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(iter([batch]), 1):
                 keys = part.column(0).to_pylist()
                 if writer is None:
                     fs, inside = pyarrow.fs.FileSystem.from_uri(folder)
