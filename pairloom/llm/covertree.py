@@ -5,8 +5,9 @@ falls as the cosine rises. A cover tree's node has a centre, the radius that cov
 its points, and children within half of its level's radius; centres of one level are
 further apart than that radius. Two trees are walked together: a pair of nodes is
 dropped if the centres are further apart than the threshold and both radii together,
-and taken whole if even their furthest points are near enough. What is left is
-verified by the cosine in double precision.
+and taken whole if even their furthest points are near enough. Pairs of nodes with few
+points are not walked further: their points are verified, many node pairs at once, by
+the cosine in double precision.
 
 Equal vectors are one class with a count. Classes of a label are dealt to cells of
 nearest pivots, and cells to blocks of about ``block_rows``; a task compares two
@@ -16,8 +17,9 @@ counts and a spanning forest of its links, never all pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with a null label, link with nothing; neither do vectors of
-different lengths. Repeated vectors link with each other. A null id is no smallest
-id. An empty table gives no rows.
+different lengths. Repeated vectors link with each other. A vector with a null id links
+and is counted like any other, but a null is no smallest id: its component is the
+smallest id that it reaches, null if there is none. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pairloom.plans.graph import connected_components
 from pairloom.plans.scratch import Scratch
 
 SLACK = 1e-6  # more than rounding can move a chord
+FEW = 1024  # a pair of nodes with no more point pairs is verified, not walked
 
 
 class CoverTree:
@@ -79,6 +82,8 @@ class CoverTree:
                 spans = [self.span[c] for c in self.children[n]]
                 self.span[n] = (min(a for a, _ in spans), max(b for _, b in spans))
         self.center_, self.radius_ = np.array(self.center, np.int64), np.array(self.radius)
+        self.first_, ends = np.array(self.span, np.int64).T
+        self.size_ = ends - self.first_
 
     def _far(self, idx: np.ndarray, c: int) -> np.ndarray:
         return np.sqrt(np.maximum(2 - 2 * (self.x[idx] @ self.x[c]), 0))
@@ -131,11 +136,30 @@ def dual_traversal(p: CoverTree, q: CoverTree | None, at: tuple[np.ndarray, np.n
     ap, aq = at
 
     def verify(a: np.ndarray, b: np.ndarray) -> None:
-        for s in range(0, len(a), 1 << 14):
-            i, j = ap[a[s : s + (1 << 14)]], aq[b[s : s + (1 << 14)]]
+        for s in range(0, len(a), 1 << 16):
+            i, j = ap[a[s : s + (1 << 16)]], aq[b[s : s + (1 << 16)]]
             ok = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= least_cosine
             links.pairs(i[ok], j[ok])
 
+    def verify_nodes(u: np.ndarray, v: np.ndarray) -> None:
+        """All points of each node of u with all of its partner of v; of a node with itself, each pair once."""
+        size_u, size_v = p.size_[u], other.size_[v]
+        ends = np.cumsum(size_u * size_v)
+        first = 0
+        while first < len(u):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + FEW * FEW, "right")))
+            k = slice(first, last)
+            n = size_u[k] * size_v[k]
+            pair = np.repeat(np.arange(last - first), n)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i = p.first_[u[k]][pair] + within // size_v[k][pair]
+            j = other.first_[v[k]][pair] + within % size_v[k][pair]
+            if q is None:
+                once = (u[k] != v[k])[pair] | (i < j)
+                i, j = i[once], j[once]
+            verify(p.order[i], other.order[j])
+            first = last
+
     def below(t: CoverTree, n: int) -> np.ndarray:
         return t.children[n] if len(t.children[n]) else np.array([n])
 
@@ -146,11 +170,8 @@ def dual_traversal(p: CoverTree, q: CoverTree | None, at: tuple[np.ndarray, np.n
         if same and 2 * p.radius[a] <= chord - SLACK:
             links.all_within(ap[p.points(a)])
             continue
-        leaves = not len(p.children[a]) and not len(other.children[b])
-        if leaves:
-            x, y = p.points(a), other.points(b)
-            i, j = np.triu_indices(len(x), 1) if same else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
-            verify(x[i], y[j])
+        if p.size_[a] * other.size_[b] <= FEW or not len(p.children[a]) and not len(other.children[b]):
+            verify_nodes(np.array([a]), np.array([b]))
             continue
         ca, cb = below(p, a), below(other, b)
         for s in range(0, len(ca), 512):
@@ -165,20 +186,12 @@ def dual_traversal(p: CoverTree, q: CoverTree | None, at: tuple[np.ndarray, np.n
             inner = d[i, j] + reach[i, j] <= chord - SLACK
             if same or q is None:
                 inner &= u != v
-            one = (reach[i, j] == 0) & ~inner & ((u != v) | (q is not None))
-            one &= _single(p, u) & _single(other, v)
-            if one.any():
-                verify(p.center_[u[one]], other.center_[v[one]])
             for x, y in zip(u[inner].tolist(), v[inner].tolist()):
                 links.all_between(ap[p.points(x)], aq[other.points(y)])
-            left = ~inner & ~one
-            todo += [(x, y) for x, y in zip(u[left].tolist(), v[left].tolist()) if q is not None or x != y or len(p.points(x)) > 1]
-
-
-def _single(t: CoverTree, nodes: np.ndarray) -> np.ndarray:
-    if not hasattr(t, "single_"):
-        t.single_ = np.array([b - a == 1 for a, b in t.span])
-    return t.single_[nodes]
+            few = ~inner & (p.size_[u] * other.size_[v] <= FEW)
+            verify_nodes(u[few], v[few])
+            left = ~inner & ~few
+            todo += list(zip(u[left].tolist(), v[left].tolist()))
 
 
 def _compare(raw: np.ndarray, weight: np.ndarray, side: np.ndarray, least_cosine: float) -> Links:
@@ -202,18 +215,19 @@ def _rows(column: pa.Array) -> np.ndarray:
     return values.astype(np.float64).reshape(len(column), -1)
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least_cosine: float = 0.93, block_rows: int = 4096, most_pivots: int = 64) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least_cosine: float = 0.93, block_rows: int = 4096, most_pivots: int = 256) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     v = F.col(vector_col)
     good = F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"), F.coalesce(good, F.lit(False)).alias("good"))
-    classes = scratch.write(rows.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).where("least IS NOT NULL"), "classes")
+    classes = rows.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = scratch.write(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")  # written once, so a class keeps its number
     top = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     n_pivots = int(min(most_pivots, max(1, top // block_rows)))
     length = F.size("v")
-    first = classes.orderBy(F.xxhash64("v"), "least").select("v").limit(n_pivots).collect() if n_pivots > 1 else []
+    first = classes.orderBy(F.xxhash64("v"), "v").select("v").limit(n_pivots).collect() if n_pivots > 1 else []
     pivots = [np.array(r[0], np.float64) for r in first]
     pivots = np.array([x / np.sqrt(x @ x) for x in pivots if len(x) == len(pivots[0])]) if pivots else np.zeros((0, 0))
 
@@ -232,12 +246,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     kind = classes.schema["v"].dataType.simpleString()
     label_kind = classes.schema["label"].dataType.simpleString()
-    placed = classes.select("label", "v", "least", "n").mapInArrow(assign, f"label {label_kind}, v {kind}, least long, n long, cell int, far double").withColumn("dims", length)
+    placed = classes.select("label", "v", "cls", "n").mapInArrow(assign, f"label {label_kind}, v {kind}, cls long, n long, cell int, far double").withColumn("dims", length)
     placed = scratch.write(placed, "placed")
     group = ["label", "dims"]
     cells = placed.groupBy(*group, "cell").agg(F.count("*").alias("rows"), F.max("far").alias("reach")).withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int"))
     cells = scratch.write(cells, "cells")
-    blocked = placed.join(cells.select(*group, "cell", "blocks"), [*group, "cell"]).withColumn("block", F.pmod(F.xxhash64("least", F.lit(7)), F.col("blocks")).cast("int"))
+    blocked = placed.join(cells.select(*group, "cell", "blocks"), [*group, "cell"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
     chord = math.sqrt(2 - 2 * least_cosine)
     one = cells.select(*group, F.col("cell").alias("c1"), F.col("reach").alias("r1"), F.col("blocks").alias("n1"))
     two = cells.select(*group, F.col("cell").alias("c2"), F.col("reach").alias("r2"), F.col("blocks").alias("n2"))
@@ -249,25 +263,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     tasks = tasks.withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1))).where("c1 < c2 OR b1 <= b2")
     key = [*group, "c1", "b1", "c2", "b2"]
     tasks = scratch.write(tasks.select(*key), "tasks")
-    data = ["least", "n", "v"]
+    data = ["cls", "n", "v"]
     left = blocked.withColumnsRenamed({"cell": "c1", "block": "b1"}).join(tasks, [*group, "c1", "b1"]).select(*key, F.lit(0).alias("side"), *data)
     right = blocked.withColumnsRenamed({"cell": "c2", "block": "b2"}).join(tasks.where("c1 != c2 OR b1 != b2"), [*group, "c2", "b2"]).select(*key, F.lit(1).alias("side"), *data)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        weight, least = table.column("n").to_numpy(), table.column("least").to_numpy()
+        weight, cls = table.column("n").to_numpy(), table.column("cls").to_numpy()
         vectors_ = table.column("v").combine_chunks()
         links = _compare(_rows(vectors_), weight, table.column("side").to_numpy(), least_cosine)
         got = [(i, links.top(i)) for i in np.flatnonzero(links.count).tolist()]
         i, r = np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
-        return pa.table({"a": pa.array(least[i], pa.int64()), "b": pa.array(least[r], pa.int64()), "n": pa.array(links.count[i], pa.int64())})
+        return pa.table({"a": pa.array(cls[i], pa.int64()), "b": pa.array(cls[r], pa.int64()), "n": pa.array(links.count[i], pa.int64())})
 
     found = scratch.write(left.unionAll(right).groupBy(*key).applyInArrow(compare, "a long, b long, n long"), "found")
     counts = found.groupBy("a").agg(F.sum("n").alias("linked"))
     joined = connected_components(found.where("a != b"), scratch)
-    facts = classes.join(counts, classes["least"] == counts["a"], "left").join(joined, classes["least"] == joined["id"], "left")
-    facts = scratch.write(facts.select("label", "v", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("c")), "facts")
-    linked = rows.where("good").join(facts, ["label", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    facts = classes.join(counts, classes["cls"] == counts["a"], "left").join(joined, classes["cls"] == joined["id"], "left")
+    facts = facts.select("label", "v", "least", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("root"))
+    facts = scratch.write(facts, "facts")
+    smallest = facts.groupBy("root").agg(F.min("least").alias("c"))
+    facts = scratch.write(facts.join(smallest, "root").select("label", "v", "n_links", "c"), "reached")
+    linked = rows.where("good").join(facts, ["label", "v"]).select("vec_id", "n_links", F.col("c").alias("component_id"))
     alone = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return scratch.finish(linked.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
 

@@ -44,9 +44,14 @@ def _attrs(raw: str) -> dict[str, str]:
 
 
 def parse(page: str) -> list[Node]:
-    """Nodes in page order, each after its parent; the first is the root."""
+    """Nodes in page order, each after its parent; the first is the root.
+
+    The places of open elements are kept by tag, so a tag looks at no more of the stack
+    than it closes, and a page takes time in proportion to its length.
+    """
     nodes = [Node("#root", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, inline ones with the block node that they are in
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open; "" stands for every block
     parts: list[str] = []
     linked = links = 0
     at, end = 0, len(page)
@@ -61,11 +66,25 @@ def parse(page: str) -> list[Node]:
             parts.clear()
         linked = 0
 
+    def push(tag: str, node: int) -> None:
+        if tag not in INLINE:
+            places.setdefault("", []).append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+
+    def nearest(tags) -> int:
+        """The highest place of an open element of the tags, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def pop_to(k: int) -> None:
         nonlocal links
-        if any(t not in INLINE for t, _ in stack[k:]):
+        if nearest(("",)) >= k:
             flush()
-        links -= sum(t == "a" for t, _ in stack[k:])
+        for tag, _ in stack[k:]:
+            places[tag].pop()
+            if tag not in INLINE:
+                places[""].pop()
+            links -= tag == "a"
         del stack[k:]
 
     while at < end:
@@ -86,37 +105,28 @@ def parse(page: str) -> list[Node]:
         if not tag:
             continue
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag or tag in HEADINGS and stack[k][0] in HEADINGS:
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = nearest(HEADINGS if tag in HEADINGS else (tag,))
+            if k and (tag not in INLINE or k > nearest(("",))):
+                pop_to(k)
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            k = nearest(("",))
+            if stack[k][0] == "p":
+                pop_to(k)
         if tag in ENDS:
-            wall = WALLS.get(tag, {"table"})
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in wall:
+            wall = nearest(WALLS.get(tag, ("table",)))
+            while (k := nearest(ENDS[tag])) > wall:
+                pop_to(k)
+                if tag in ("li", "dt", "dd", "td", "th", "option"):
                     break
-                if stack[k][0] in ENDS[tag]:
-                    pop_to(k)
-                    if tag in ("li", "dt", "dd", "td", "th", "option"):
-                        break
         if tag in INLINE and tag not in UNSEEN:
             if tag not in VOID:
                 if tag == "a":
                     links += 1
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
             continue
         flush()
         attrs = _attrs(m["attrs"] or "")
@@ -131,8 +141,10 @@ def parse(page: str) -> list[Node]:
         if tag == "body":  # whatever was open in the head ends here
             nodes[-1].parent, nodes[-1].unseen = 0, False
             links = 0
-            stack[1:] = [("body", len(nodes) - 1)]
+            del stack[1:]
+            places.clear()
+            push("body", len(nodes) - 1)
         elif tag not in VOID and not (m["attrs"] or "").endswith("/"):
-            stack.append((tag, len(nodes) - 1))
+            push(tag, len(nodes) - 1)
     flush()
     return nodes

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -174,29 +175,37 @@ class Detection:
 def detect(canonical: str, found: set[str]) -> list[Detection]:
     """Detections that stay, by place; ``found`` holds the keywords that occur in the text."""
     _, by_key = _automaton()
-    stay: list[Detection] = []
     candidates = []
     for k in sorted({k for key in found for k in by_key.get(key, ())}):
         r = rules()[k]
         candidates += [Detection(m.start() + 1, m.end(), r) for m in r.pattern.finditer(canonical)]
-    candidates.sort(key=lambda d: (d.rule.priority, d.start - d.end, d.start))
-    cover: list[tuple[int, int]] = []  # intervals of what stays, none within another, by start
-    import bisect
-
-    for d in candidates:
-        at = bisect.bisect_right(cover, (d.start, 1 << 60)) - 1
-        if at >= 0 and cover[at][1] >= d.end:
-            continue
-        stay.append(d)
-        new = at + 1
-        until = new
-        while until < len(cover) and cover[until][1] <= d.end:
-            until += 1
-        begin = new - 1 if at >= 0 and cover[at][0] == d.start else new
-        cover[begin:until] = [(d.start, d.end)]
+    stay = [candidates[k] for k in unsuppressed([(d.start, d.end, d.rule.priority) for d in candidates])]
     return sorted(stay, key=lambda d: (d.start, d.end, d.rule.label))
 
 
+def unsuppressed(spans: list[tuple[int, int, int]]) -> list[int]:
+    """Places of the (start, end, priority) that lie in no other of a smaller or, if they are not longer, equal priority.
+
+    Of equal ones the first stays. One sort and one running maximum for each priority.
+    """
+    if not spans:
+        return []
+    start, end, priority = np.array(spans, np.int64).T
+    stays = np.zeros(len(spans), bool)
+    for p in np.unique(priority):
+        k = np.flatnonzero(stays | (priority == p))  # what a suppressed one holds lies in what suppressed it
+        k = k[np.lexsort((k, priority[k], -end[k], start[k]))]
+        reach = np.concatenate(([-1], np.maximum.accumulate(end[k])[:-1]))
+        stays[k[(priority[k] == p) & (reach < end[k])]] = True
+    return np.flatnonzero(stays).tolist()
+
+
+def _word_of(canonical: str, places: list[int]) -> list[int]:
+    """How many spaces of the text lie before each place."""
+    lengths = np.fromiter(map(len, canonical.split(" ")), np.int64)
+    return np.searchsorted(np.cumsum(lengths + 1) - 1, places, "left").tolist()
+
+
 def scan_text(text: str | None) -> tuple[int, list[tuple[int, str]], list[Detection], str]:
     """Number of words, places of base phrases as (word, label), detections, and the text that they index."""
     got = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
@@ -209,8 +218,9 @@ def scan_text(text: str | None) -> tuple[int, list[tuple[int, str]], list[Detect
     for phrase, label in BASE.items():
         at = canonical.find(f" {phrase} ") if phrase in found else -1
         while at >= 0:
-            base.append((canonical.count(" ", 0, at), label))
+            base.append((at, label))
             at = canonical.find(f" {phrase} ", at + 1)
+    base = list(zip(_word_of(canonical, [at for at, _ in base]), (label for _, label in base))) if base else []
     return len(got), sorted(base), detect(canonical, found), canonical
 
 
@@ -221,7 +231,9 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string
 
 def _row(text: str | None) -> tuple:
     n, base, found, canonical = scan_text(text)
-    spans = [{"label": d.rule.label, "first": canonical.count(" ", 0, d.start - 1), "last": canonical.count(" ", 0, d.end) - 1, "weight": d.rule.weight} for d in found]
+    first = _word_of(canonical, [d.start - 1 for d in found]) if found else []
+    last = _word_of(canonical, [d.end for d in found]) if found else []
+    spans = [{"label": d.rule.label, "first": a, "last": b - 1, "weight": d.rule.weight} for d, a, b in zip(found, first, last)]
     own = sorted({label for _, label in base})
     rest = 1.0
     for weight in [*(d.rule.weight for d in found), *(0.9 for _ in own)]:

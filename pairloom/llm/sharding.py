@@ -5,9 +5,13 @@ the curve index of its cell, rows are ordered by that index, and the order is cu
 into runs. Rows that are near in all dimensions lie in the same run, so the file
 statistics of a run prune on any of the dimensions.
 
+Equal texts are a group. They have one place on the curve, that of the smallest of their
+rows' metadata, and lie side by side there, so of all groups only those that a border
+between shards falls into (one a border at most) are in two shards.
+
 Defined results: a null text has no bytes (size 1, crc 0); a null dimension sorts
-as its smallest value; repeated rows each get a slot of their own; an empty table
-gives no rows; other columns of the input, whatever their names, are not read.
+as its smallest value; null texts are no group; repeated rows each get a slot of their
+own, ties in the order of doc_id; an empty table gives no rows; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.plans.hot import join_with_hot_keys
 from pairloom.plans.scratch import Scratch
 
 
@@ -108,8 +113,19 @@ def _metadata(docs: DataFrame, id_col: str, text_col: str, dims: list[str]) -> D
     """What sharding needs of each row; the text itself is read once and not carried on."""
     size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long")
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    group = F.unhex(F.sha2(F.col(text_col), 256))
     kept = [F.col(d).alias(f"d{k}") for k, d in enumerate(dims)]
-    return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), *kept)
+    return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), group.alias("group"), *kept)
+
+
+def _with_dims_of_group(meta: DataFrame, axes: list[str], scratch: Scratch) -> DataFrame:
+    """``meta`` with one set of dimensions for all rows of a group of equal texts; only groups whose rows differ in them are looked up."""
+    own = F.struct(*axes)
+    groups = meta.where("group IS NOT NULL").groupBy("group").agg(F.min(own).alias("of"), F.max(own).alias("top"), F.count("*").alias("n"))
+    groups = scratch.write(groups.where(~F.col("of").eqNullSafe(F.col("top"))).select("group", "of", "n"), "groups")
+    both = join_with_hot_keys(meta, groups, "group", "n", meta.count())
+    of = F.coalesce("of", own)
+    return both.select("doc_id", "size", "text_crc32", "group", *[of.getField(a).alias(a) for a in axes])
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "rows", dims: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", bits: int = 5, runs: int = 0) -> DataFrame:
@@ -124,16 +140,18 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "rows", dims: tu
         raise ValueError(f"law must be rows or bytes, not {law!r}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
-    meta = scratch.write(_metadata(docs, id_col, text_col, list(dims)), "meta")
     axes = [f"d{k}" for k in range(len(dims))]
-    ends = meta.agg(*[f(a).alias(f"{f.__name__}_{a}") for a in axes for f in (F.min, F.max)]).first()
+    meta = scratch.write(_metadata(docs, id_col, text_col, list(dims)), "meta")
+    meta = scratch.write(_with_dims_of_group(meta, axes, scratch), "grouped") if axes else meta
+    ends = meta.agg(F.lit(0), *[f(a).alias(f"{f.__name__}_{a}") for a in axes for f in (F.min, F.max)]).first()
     numbers = {a: _as_number(meta, a, ends[f"min_{a}"], ends[f"max_{a}"]) for a in axes} | {"size": F.col("size").cast("double")}
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
     depth = meta.agg(*[F.percentile_approx(c, cuts, F.lit(10000)).alias(a) for a, c in numbers.items()]).first()
-    keyed = meta.select("doc_id", "size", "text_crc32", *[c.alias(f"n_{a}") for a, c in numbers.items()])
+    tie = F.xxhash64("group").alias("tie")
+    keyed = meta.select("doc_id", "size", "text_crc32", tie, *[c.alias(f"n_{a}") for a, c in numbers.items()])
     cells = [_cell(F.col(f"n_{a}"), depth[a] or []).alias(f"c_{a}") for a in numbers]
-    keyed = with_hilbert_index(keyed.select("doc_id", "size", "text_crc32", *cells), [f"c_{a}" for a in numbers], bits)
-    order = ["curve", "size", "text_crc32", "doc_id"]
+    keyed = with_hilbert_index(keyed.select("doc_id", "size", "text_crc32", "tie", *cells), [f"c_{a}" for a in numbers], bits)
+    order = ["curve", "size", "text_crc32", "tie", "doc_id"]
     n = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     placed = scratch.write(placed, "placed")

@@ -69,6 +69,43 @@ def test_shards(spark, law):
     assert sharding.hilbert_shards(docs_of(spark, texts).limit(0), law=law).count() == 0
 
 
+def test_shards_follow_the_curve(spark):
+    """Rows in the order of their places, equal texts together, cells of equal depth, ties by doc_id."""
+    r = random.Random(12)
+    docs = [(k, r.choice(["same words", "w " * r.randint(0, 40), None, f"t{k}"]), r.choice(["en", "de", "fr", None]), f"s{r.randint(0, 5)}") for k in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in sharding.hilbert_shards(df, bits=3).collect()}
+    rank = lambda v: (v is not None, v or "")
+    place = {}
+    for k, t, lang, source in docs:
+        own = [(rank(d[3]), rank(d[2])) for d in docs if d[1] == t and t is not None] or [(rank(source), rank(lang))]
+        place[k] = min(own), len((t or "").encode()) + 1
+    by_place = {}
+    for k, p in place.items():
+        by_place.setdefault(p, set()).add(got[k]["curve"])
+    assert all(len(c) == 1 for c in by_place.values())  # same metadata, same place
+    rows = sorted(got.values(), key=lambda x: x["rank"])
+    assert [x["rank"] for x in rows] == list(range(400))
+    assert [x["curve"] for x in rows] == sorted(x["curve"] for x in rows)
+    text = {k: t for k, t, _, _ in docs}
+    seen = [text[x["doc_id"]] for x in rows]
+    for t in set(seen) - {None}:
+        at = [i for i, s in enumerate(seen) if s == t]
+        assert at[-1] - at[0] + 1 == len(at) and [rows[i]["doc_id"] for i in at] == sorted(rows[i]["doc_id"] for i in at)
+    split = sum(len({got[k]["shard"] for k in text if text[k] == t}) > 1 for t in set(text.values()) - {None})
+    assert split <= 7
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_curve_index_of_rows(spark, bits):
+    """The column expressions give the table's walk: each cell one place, neighbours in place are neighbours."""
+    cells = list(itertools.product(range(1 << bits), repeat=3))
+    df = spark.createDataFrame(cells, "a int, b int, c int")
+    place = {x["curve"]: (x["a"], x["b"], x["c"]) for x in sharding.with_hilbert_index(df, ["a", "b", "c"], bits).collect()}
+    assert sorted(place) == list(range(8**bits))
+    assert all(sum(abs(x - y) for x, y in zip(place[i], place[i + 1])) == 1 for i in range(8**bits - 1))
+
+
 # decontamination
 
 
@@ -152,6 +189,35 @@ def test_license_places_by_brute_force(spark):
         assert got[k] == (len(at), at[0] if at else None, at[-1] if at else None)
 
 
+def test_license_suppression_by_brute_force():
+    r = random.Random(6)
+    for _ in range(300):
+        spans = [(a, a + r.randint(1, 9), r.randint(0, 3)) for a in (r.randint(0, 12) for _ in range(r.randint(0, 14)))]
+        rank = lambda k: (spans[k][2], spans[k][0] - spans[k][1], spans[k][0], k)
+        inside = lambda d, e: spans[e][0] <= spans[d][0] and spans[d][1] <= spans[e][1]
+        want = [d for d in range(len(spans)) if not any(inside(d, e) and rank(e) < rank(d) for e in range(len(spans)))]
+        assert licenses.unsuppressed(spans) == want
+
+
+def test_license_detections_by_brute_force():
+    """All rules on all texts, without prefilter or sorting, then suppression by comparing all detections."""
+    r = random.Random(8)
+    pool = "licensed under the terms of mit license gnu general public version 2 0 3 cc by nc sa apache spdx identifier bsd clause creative commons é x".split()
+    for _ in range(150):
+        text = " ".join(r.choice(pool) for _ in range(60))
+        every = [(m.start() + 1, m.end(), rule) for rule in licenses.rules() for m in rule.pattern.finditer(f" {text} ")]
+        beats = lambda e, d: e[0] <= d[0] and d[1] <= e[1] and (e[2].priority, d[1] - d[0]) < (d[2].priority, e[1] - e[0])
+        stay = {(a, b, rule.priority) for a, b, rule in every if not any(beats(e, (a, b, rule)) for e in every)}
+        _, base, got, canonical = licenses.scan_text(text)
+        assert {(d.start, d.end, d.rule.priority) for d in got} == stay and len({(d.start, d.end) for d in got}) == len(got)
+        for d, span in zip(got, licenses._row(text)[7]):
+            assert canonical[: d.start].count(" ") - 1 == span["first"] and canonical[d.start : d.end].split() == text.split()[span["first"] : span["last"] + 1]
+        missing = 1.0
+        for w in [*(d.rule.weight for d in got), *(0.9 for _ in {label for _, label in base})]:
+            missing *= 1 - w
+        assert licenses._row(text)[6] == (1 - missing if got or base else 0.0)
+
+
 # BPE and token files
 
 
@@ -327,6 +393,24 @@ def test_substrings_by_brute_force(spark, size, prefix, group):
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [4096, 40])
+def test_substrings_with_hot_prefixes(spark, monkeypatch, share):
+    """A passage, a line shorter than a window and a group of copies that a third of all documents have; long words; hot or not."""
+    monkeypatch.setattr(substrings, "HOT_SHARE", share)
+    r = random.Random(11)
+    draw = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n))
+    passage, line, copy = draw(45), draw(14), draw(70)
+    texts = [(k, copy if k % 3 == 0 else " ".join([draw(r.randint(0, 30)), passage if k % 3 == 1 else line, draw(r.randint(0, 30))])) for k in range(900)]
+    long = " ".join([draw(9), "y" * 3000, draw(9), "z" * 100, draw(9)])
+    texts += [(1000, long), (1001, "q " + long), (1002, long.replace("z" * 100, "z" * 99 + "x")), (None, passage), (None, passage + " end"), (5, copy), (1003, "q " * 400)]
+    got = substrings.remove_repeats(docs_of(spark, texts), kept_col=None)
+    assert sorted((str(x["doc_id"]), x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got.collect()) == plain_removed(texts, 20)
+    own = Scratch(spark, "hot")
+    plain = docs_of(spark, texts).selectExpr("coalesce(doc_id, 0) AS doc", "xxhash64(text) AS t1", "text")
+    assert (len(substrings._hot_prefixes(plain, 20, 8, own)) > 0) == (share == 40 or len(texts) > 256)
+    own.drop()
+
+
 # embeddings
 
 
@@ -350,6 +434,27 @@ def test_near_vectors_by_brute_force(spark, block):
     assert covertree.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 10])
+def test_vectors_with_null_ids(spark, block):
+    """Null ids within classes, as whole classes, and as the only way between two ids; other columns with clashing names."""
+    g = np.random.default_rng(5)
+    turn = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    rows = [(None, turn(0.0)), (None, turn(0.0)), (None, turn(0.3)), (9, turn(0.6)), (4, turn(0.9)), (None, turn(3.0)), (7, turn(4.0)), (None, turn(4.0)), (None, None)]
+    rows += [(int(k) if k % 3 else None, turn(float(a))) for k, a in enumerate(g.uniform(0, 60, 40), 20)]
+    rows = [(i, v, 1, f"row{k}") for k, (i, v) in enumerate(rows)]
+    every = range(len(rows))
+    links = [(a, b) for a, b in itertools.combinations(every, 2) if rows[a][1] and rows[b][1] and np.dot(rows[a][1], rows[b][1]) / (np.linalg.norm(rows[a][1]) * np.linalg.norm(rows[b][1])) >= 0.93]
+    top = roots(links, set(every))
+    want = []
+    for k in every:
+        ids = [rows[j][0] for j in every if top[j] == top[k] and rows[j][0] is not None]
+        least = min(ids, default=None)
+        want.append((rows[k][0], sum(k in x for x in links), least, rows[k][0] == least))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string")
+    got = [tuple(r) for r in covertree.near_vectors(df, block_rows=block).select("vec_id", "n_links", "component_id", "kept").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 # pages
 
 
@@ -365,6 +470,33 @@ def test_pages_of_known_parts():
     assert model.extract("<p>cut off &amp; <b") == "cut off &"
 
 
+def plain_nodes(page):
+    """Tags and texts as the parser gives them."""
+    return [(n.tag, n.text) for n in dom.parse(page)]
+
+
+def test_end_tags_close_what_is_nearest():
+    assert plain_nodes("<div>a<i><p>b</i>c</p>d</div>e") == [("#root", ""), ("div", ""), ("#text", "a"), ("p", ""), ("#text", "bc"), ("#text", "d"), ("#text", "e")]
+    assert plain_nodes("<ul><li>a<b>x<li>b<ul><li>c</ul>d</ul>") == [("#root", ""), ("ul", ""), ("li", ""), ("#text", "ax"), ("li", ""), ("#text", "b"), ("ul", ""), ("li", ""), ("#text", "c"), ("#text", "d")]
+    assert plain_nodes("<table><tr><td>a<td>b<tr><td>c</table>d") == [("#root", ""), ("table", ""), ("tr", ""), ("td", ""), ("#text", "a"), ("td", ""), ("#text", "b"), ("tr", ""), ("td", ""), ("#text", "c"), ("#text", "d")]
+    assert plain_nodes("<h2>a</h3>b") == [("#root", ""), ("h2", ""), ("#text", "a"), ("#text", "b")]
+
+
+@pytest.mark.parametrize("page", ["<b>" * 60_000 + "x</i>" * 60_000, "<i><div>" + "<b>" * 60_000 + "x</i>" * 60_000, "<div>" * 60_000 + "<tr>x</tr>" * 60_000, "<p>word &amp; word</p>\n" * 40_000, "<li>a<div>" * 60_000])
+def test_long_pages_in_linear_time(page):
+    began = time.time()
+    htmlextract.trained().extract(page)
+    assert time.time() - began < 60
+
+
+def test_long_texts_in_linear_time():
+    """A text of 10 MB full of phrases."""
+    text = "released under the MIT license, see Apache License, Version 2.0; " * 150_000
+    began = time.time()
+    n, n_base, first, last, *_ = licenses._row(text)
+    assert (n_base, first, last) == (300_000, 1, n - 5) and time.time() - began < 120
+
+
 def test_marginals_are_exact():
     """Messages give what summing over all labelings gives."""
     model = htmlextract.trained(200)
