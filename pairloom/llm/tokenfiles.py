@@ -54,8 +54,9 @@ class LibraryEncoder:
     words, and a word into what comes before such a run and the run. Whether a character
     is a letter or digit to its end (some become a letter and a mark) is asked of the
     library's own normaliser and pre-tokeniser, once for each character. New parts go to
-    the library many at a time, with a special token between them. Parts of over KEPT
-    bytes are not kept.
+    the library many at a time: those of letters alone, each one piece, with a space
+    between them, as the last token of a piece is known by its form; the others with a
+    special token. Parts of over KEPT bytes are not kept.
     """
 
     def __init__(self, path: str, cache: int = 800_000):
@@ -82,6 +83,21 @@ class LibraryEncoder:
         self.part: dict[bytes, bytes] = {}
         self.part_before: dict[bytes, bytes] = {}
         self.ends: dict[str, bool] = {}
+        self.letters: dict[str, bool] = {}
+        last = spec["model"]["end_of_word_suffix"]
+        self.is_last = np.zeros(self.vocabulary, bool)
+        self.is_last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(last)]] = True
+
+    def _of_letters(self, part: str) -> bool:
+        """Whether a part has only letters, to the library and after its normaliser too."""
+        for c in part if not part.isascii() else "" if part.isalpha() else "-":
+            if c not in self.letters:
+                normal = self.library.normalizer.normalize_str(c)
+                pieces = self.library.pre_tokenizer.pre_tokenize_str(f"a{normal}a")
+                self.letters[c] = len(normal) == 1 and len(pieces) == 1
+            if not self.letters[c]:
+                return False
+        return True
 
     def _ends_before_marks(self, last: str) -> bool:
         """Whether marks after this character are a piece of their own."""
@@ -101,18 +117,28 @@ class LibraryEncoder:
         ]
 
     def _ask(self, parts: list[bytes]) -> list[bytes]:
-        alone = [self.sign in p for p in parts]
         out: dict[bytes, bytes] = {}
-        for p in [p for p, a in zip(parts, alone) if a]:
-            out[p] = np.array(self.library.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        rest = [p for p, a in zip(parts, alone) if not a]
-        runs_ = [rest[k : k + 200] for k in range(0, len(rest), 200)]
-        for run, got in zip(runs_, self.library.encode_batch_fast([self.between.join(p.decode() for p in r) for r in runs_], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            raw, cut = ids.tobytes(), (4 * np.flatnonzero(ids == self.between_id)).tolist()
-            if len(cut) != len(run) - 1:
-                raise ValueError("the library has joined parts that a special token was between")
-            out.update(zip(run, (raw[a:b] for a, b in zip([0, *[c + 4 for c in cut]], [*cut, len(raw)]))))
+        plain, other = [], []
+        for p in parts:
+            text = p.decode()
+            if self.sign in p:
+                out[p] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                (plain if self._of_letters(text) else other).append(text)
+        for between, texts in ((" ", plain), (self.between, other)):
+            runs_ = [texts[k : k + 200] for k in range(0, len(texts), 200)]
+            for run, got in zip(runs_, self.library.encode_batch_fast([between.join(r) for r in runs_], add_special_tokens=False)):
+                ids = np.array(got.ids, "<u4")
+                raw = ids.tobytes()
+                if between == " ":
+                    end = (4 * np.flatnonzero(self.is_last[ids]) + 4).tolist()
+                    start = [0, *end[:-1]]
+                else:
+                    end = [*(4 * np.flatnonzero(ids == self.between_id)).tolist(), len(raw)]
+                    start = [0, *[e + 4 for e in end[:-1]]]
+                if len(end) != len(run) or end[-1] != len(raw):
+                    raise ValueError("the library has joined parts that were apart")
+                out.update(zip([t.encode() for t in run], [raw[a:b] for a, b in zip(start, end)]))
         return [out[p] for p in parts]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
