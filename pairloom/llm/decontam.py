@@ -235,7 +235,7 @@ def _pass(docs: DataFrame, text_col: str, items: list[tuple[str, str, int]], win
     return docs.mapInArrow(scan, f"{plain}, {REPORT}")
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 1_000_000) -> DataFrame:
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 1_000_000, scratch: Scratch | None = None) -> DataFrame:
     """The columns of ``docs`` with n_words, n_hit, longest, spans, item_ids and matches of each row.
 
     ``spans`` are the runs of hit words; ``matches`` has, for each item that occurs, its
@@ -243,7 +243,8 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     the length of the longest of these.
 
     Names of the report replace equal names of ``docs``. With one block of items, which
-    a benchmark of up to ``block_words`` words is, the plan has no shuffle.
+    a benchmark of up to ``block_words`` words is, the plan has no shuffle; else the result
+    reads tables of the scratch, which the caller drops.
     """
     blocks = _blocks(benchmark, item_col, item_text_col, block_words, window)
     report = [n for n, _ in _ARROW]
@@ -252,7 +253,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     second = next(blocks, None)
     if second is None:
         return _pass(docs, text_col, first, window)
-    scratch = Scratch(docs.sparkSession, "benchmark")
+    scratch = scratch or Scratch(docs.sparkSession, "benchmark")
     keyed = scratch.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     slim = keyed.select("__row", F.col(text_col).alias("text"))
     parts = [_pass(slim, "text", b, window).drop("text") for b in _chain(first, second, blocks)]

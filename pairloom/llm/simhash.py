@@ -13,8 +13,9 @@ of more than ``bucket_rows`` classes is first split by the same construction ove
 bits that its mask leaves free, again and again, so a group in memory stays bounded.
 
 Defined results: a null text has no words, and a text without words has fingerprint
-zero, linked like any other; a shorter text than a shingle is one shingle; repeated
-documents share a class; an empty table gives no rows. A null id is no smallest id;
+zero, linked like any other; a shorter text than a shingle is one shingle; texts of any
+length are taken whole; repeated documents share a class; of tied ids the smallest names
+a component; an empty table gives no rows; other columns are not read. A null id is no smallest id;
 a fingerprint that only rows with null ids have is linked with nothing (component null).
 """
 
@@ -209,22 +210,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.finish(out) if scratch is None else out
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, as they came, and one of those with one id.
-
-    Rows with a null id stay. The result reads one small table that stays in the scratch folder.
-    """
-    own = Scratch(docs.sparkSession, "copies")
-    found = simhash_components(docs, id_col, text_col, **options).where("doc_id IS NOT NULL")
-    ids = own.write(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).where("n > 1 OR doc_id != c").select(F.col("doc_id").alias("__id"), "n", "c"), "ids")
-    # what goes is the smaller part, so this join moves the texts only where that part is large too
-    out = docs.join(ids, docs[id_col] == ids["__id"], "left_anti")
-    twice = ids.where("n > 1 AND __id = c")
-    if twice.take(1):
-        out = out.unionAll(docs.join(twice, docs[id_col] == twice["__id"], "left_semi").dropDuplicates([id_col]))
-    return out
-
-
 def op8_covering_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -391,7 +391,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A text that loses nothing is kept as it is. With ``kept_col`` the result is not
     checkpointed, and reads one small table of ``scratch``, which the caller drops.
     """
-    own = scratch or Scratch(docs.sparkSession, "substrings")
+    own = Scratch(docs.sparkSession, "substrings")
     news = ["n_words", "n_removed", "kept_sha256", *([kept_col] if kept_col else [])]
     keep = [c for c in docs.columns if c != text_col and c not in news]
     doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.coalesce(F.col(text_col), F.lit(""))
@@ -407,7 +407,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = found.groupBy("doc", "t1").agg(F.collect_list(F.struct("a", "b")).alias("cut"))
     facts = cut.select(F.col("doc").alias("__doc"), F.col("t1").alias("__t1"), F.lit(False).alias("copy"), "cut")
     facts = facts.unionAll(copies.select("doc", "t1", F.lit(True), F.lit(None).cast(facts.schema["cut"].dataType)))
-    facts = (Scratch(docs.sparkSession, "repeats") if scratch is None and kept_col else own).write(facts, "facts")
+    stays = bool(scratch or kept_col)
+    facts = ((scratch or Scratch(docs.sparkSession, "repeats")) if stays else own).write(facts, "facts")
     whole = docs.select(*[F.col(c).alias(f"p{k}") for k, c in enumerate(keep)], doc.alias("__doc"), t1.alias("__t1"), text.alias("text"))
     whole = whole.join(facts, ["__doc", "__t1"], "left").select(*[f"p{k}" for k in range(len(keep))], F.coalesce("copy", F.lit(False)).alias("copy"), "cut", "text")
     n = len(keep)
@@ -436,10 +437,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     types = [f"p{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)] + ["q0 long", "q1 long", "q2 string", *(["q3 string"] if kept_col else [])]
     out = whole.mapInArrow(finish, ", ".join(types)).toDF(*keep, *news)
-    if scratch is None:
-        if not kept_col:
-            return own.finish(out)
-        own.drop()
+    if not stays:
+        return own.finish(out)
+    own.drop()
     return out
 
 

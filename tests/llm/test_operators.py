@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import time
 import zlib
@@ -357,8 +358,6 @@ def test_simhash_by_brute_force(spark, most):
     want = roots([(i, j) for (i, x), (j, y) in itertools.combinations(fp, 2) if (x ^ y).bit_count() <= 3], {i for i, _ in fp})
     got = simhash.simhash_components(docs_of(spark, texts), bucket_rows=most).collect()
     assert sorted((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in got) == sorted((i, x, want[i]) for i, x in fp)
-    kept = simhash.keep_one_of_each(docs_of(spark, texts)).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
     assert simhash.simhash_components(docs_of(spark, texts).limit(0)).count() == 0
 
 
@@ -555,6 +554,38 @@ def test_quality_edges(spark):
     assert quality.score_documents(df.limit(0), quality.Evidence.fit([])).count() == 0
 
 
+def test_evidence_is_that_of_whole_rows(spark):
+    """Fitted on the cluster: what fitting in one place gives; by the plain formulas, host and path posteriors of every row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [tuple(r) for r in docs.join(labels, "doc_id").select("text", "quality", "toxic").collect()]
+    e, want = quality.fit_evidence(docs, labels), quality.Evidence.fit(rows)
+    assert np.allclose(e.weights, want.weights, atol=1e-6) and e.words.keys() == want.words.keys() and np.isclose(e.base, want.base)
+    few = quality.fit_evidence(docs.unionAll(docs), labels, max_labelled=20)  # repeated ids: bounded again after the join
+    assert few.weights.shape == e.weights.shape
+    got = {r["doc_id"]: r for r in quality.score_documents(docs, e, keep_text=False).collect()}
+    p = lambda x: 1 / (1 + math.exp(-x))
+    low, toxic, site = {}, {}, {}
+    for r in docs.collect():
+        k = r["doc_id"]
+        low[k], toxic[k], site[k] = float(e.low_quality([r["text"]])[0]), float(e.toxic([r["text"]])[0]), (r["source"], r["lang"])
+    bad = {k: 1 - (1 - p(low[k])) * (1 - p(toxic[k])) for k in low}
+    host = {h: [bad[k] for k in bad if site[k][0] == h] for h in {s[0] for s in site.values()}}
+    path = {s: [bad[k] for k in bad if site[k] == s] for s in set(site.values())}
+    n, s = len(bad), sum(bad.values())
+    rate = min(max(s / n, 1e-4), 1 - 1e-4)
+    between = sum(sum(x) ** 2 / len(x) for x in host.values()) - n * rate * rate
+    spread = max((between - (len(host) - 1) * rate * (1 - rate)) / max(n - sum(len(x) ** 2 for x in host.values()) / n, 1e-9), rate * (1 - rate) / 1000)
+    strength = max(rate * (1 - rate) / spread - 1, 1.0) if len(host) > 1 else 100.0
+    for k, r in got.items():
+        hr = (sum(host[site[k][0]]) + strength * rate) / (len(host[site[k][0]]) + strength)
+        pr = (sum(path[site[k]]) + strength * hr) / (len(path[site[k]]) + strength)
+        shift = max(-2.0, min(2.0, math.log(pr / (1 - pr)) - math.log(rate / (1 - rate))))
+        odds = math.log(math.exp(low[k]) + math.exp(toxic[k])) + shift
+        assert np.allclose([r["low_quality"], r["toxic"], r["host_rate"], r["path_rate"], r["bad"], r["score"]], [low[k], toxic[k], hr, pr, odds, 1 / (1 + math.exp(odds))], atol=1e-8)
+        assert r["keep"] == (odds < 0)
+
+
 def test_sites_are_shrunk():
     rate, strength = quality._prior(3, 300, 60.0, 100 * (0.2**2) * 3, 30000)
     assert rate == 0.2 and strength > 100  # hosts that do not differ: a strong prior

@@ -1,10 +1,16 @@
 """The pipeline's stages on their own inputs, against plain versions of what each must do."""
 
+import itertools
+import os
+import random
+
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
 from pairloom.llm.queries import oracle_sql, queries
-from tests.llm.test_operators import SF, plain_fingerprint, plain_removed, roots
+from pairloom.plans.scratch import checkpoint_dir
+from tests.llm.test_near_copies import words
+from tests.llm.test_operators import SF, docs_of, plain_removed, roots
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,8 +26,8 @@ def test_stages(spark):
         if k < 4:
             assert after.columns == COLUMNS
         if k == 1:
-            fp = sorted((i, plain_fingerprint(t)) for i, t in before.items())
-            pairs = [(a, b) for n, (a, x) in enumerate(fp) for b, y in fp[n + 1 :] if (x ^ y).bit_count() <= 3]
+            sets = [(i, words(t)) for i, t in before.items()]
+            pairs = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if 10 * len(x & y) >= 8 * len(x | y)]
             assert ids == set(roots(pairs, set(before)).values())
         if k == 2:
             want = {i: (n, gone) for i, n, gone, _ in plain_removed(list(before.items()), 20)}
@@ -41,6 +47,32 @@ def test_run_and_empty(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
+def test_run_leaves_only_its_result(spark):
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    P.run(spark, SF).count()
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before if not x.startswith(".")} == {"pipeline"}
+
+
+def test_stages_with_odd_rows(spark):
+    """Null ids, null, empty and blank texts, repeated rows, repeated ids, and a long text go through every stage."""
+    r = random.Random(7)
+    prose = lambda n: " ".join(r.choice(["the", "river", "house", "small", "walked", "over", "stone", "light", f"word{r.randrange(900)}"]) for _ in range(n)) + "."
+    a, b, long = prose(120), prose(90), prose(200_000)
+    texts = [(1, a), (1, a), (2, a), (3, b), (3, prose(80)), (None, b), (None, prose(70)), (None, prose(70)), (4, None), (None, None), (5, ""), (6, " \t"), (7, long), (8, long + " end"), (9, "one")]
+    docs = docs_of(spark, texts)
+    for k, (_, stage) in enumerate(P.STAGES):
+        after = stage(spark, docs, SF)
+        assert after.columns == COLUMNS if k < 4 else "ids" in after.columns
+        rows = after.collect()
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if k == 1:
+            kept = [(x["doc_id"], x["text"]) for x in rows]
+            assert len(kept) == len(set(kept)) and (1, a) in kept and (2, a) not in kept and (None, b) not in kept and (8, long + " end") not in kept
+        if k < 4:
+            docs = spark.createDataFrame(rows, docs.schema)
+
+
 def test_registered():
     assert {q.split("_")[0] for q in queries()} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
     assert set(oracle_sql()) <= set(queries())
