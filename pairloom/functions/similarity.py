@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Thresholds of token equivalence.
@@ -42,7 +42,7 @@ def _group_map() -> Column:
 
 def nickname_equal(a: Column, b: Column) -> Column:
     m = _group_map()
-    return F.coalesce(F.arrays_overlap(F.element_at(m, a), F.element_at(m, b)), F.lit(False))
+    return F.coalesce(F.arrays_overlap(F.try_element_at(m, a), F.try_element_at(m, b)), F.lit(False))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -95,31 +95,36 @@ def _may_be_close(a: Column, b: Column) -> Column:
     return best + prefix * (1 - best) >= JARO_WINKLER_LEAST - 1e-9
 
 
-def with_groups(tokens: Column) -> Column:
-    """Tokens as structs of the token and its nickname groups, looked up once a record."""
-    m = _group_map()
-    return F.transform(tokens, lambda t: F.struct(t.alias("t"), F.coalesce(F.try_element_at(m, t), F.array().cast("array<int>")).alias("g")))
-
-
-def tokens_equal(x: Column, y: Column) -> Column:
-    """Two tokens with their groups may be one name: equal, nickname, initial, beginning, or a typo of a longer token."""
-    a, b = x["t"], y["t"]
+def tokens_equal(a: Column, b: Column) -> Column:
+    """Two tokens may be one name: equal, nickname, initial, beginning, or a typo of a longer token."""
     la, lb = F.length(a), F.length(b)
     initial = ((la == 1) & b.startswith(a)) | ((lb == 1) & a.startswith(b))
     beginning = ((la <= lb) & (la >= PREFIX_LEAST) & b.startswith(a)) | ((lb <= la) & (lb >= PREFIX_LEAST) & a.startswith(b))
     long = F.greatest(la, lb) >= 4
     return (
-        F.when(a == b, True).when(initial | beginning, True).when(F.arrays_overlap(x["g"], y["g"]), True)
+        F.when(a == b, True).when(initial | beginning, True).when(nickname_equal(a, b), True)
         .when(long & one_edit(a, b), True).when(long & _may_be_close(a, b), jaro_winkler(a, b) >= JARO_WINKLER_LEAST).otherwise(False)
     )
 
 
+def near_tokens(pairs: DataFrame) -> DataFrame:
+    """(token, near): with which other tokens each is equivalent; ``pairs`` has distinct tokens t and u.
+
+    A name token stands in very many pairs of records, and is compared here once for each
+    other token that it meets.
+    """
+    same = pairs.where("t != u").where(tokens_equal(F.col("t"), F.col("u"))).select("t", "u")
+    both = same.unionAll(same.select(F.col("u").alias("t"), F.col("t").alias("u")))
+    return both.groupBy(F.col("t").alias("token")).agg(F.collect_set("u").alias("near"))
+
+
 def greedy_matches(small: Column, large: Column) -> Column:
-    """How many tokens (with groups) of ``small`` find an equivalent in what is left of ``large``, first come, first served."""
+    """How many tokens (structs of a token t and its ``near`` ones) of ``small`` find an equivalent in what is left of ``large``, first come, first served."""
 
-    def step(acc: Column, t: Column) -> Column:
-        at = F.array_position(F.transform(acc["rest"], lambda u: tokens_equal(t, u)), True).cast("int")
+    def step(acc: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(acc["rest"], lambda u: (u == x["t"]) | F.array_contains(x["near"], u)), True).cast("int")
         rest = F.filter(acc["rest"], lambda u, j: j != at - 1)
         return F.when(at > 0, F.struct(rest.alias("rest"), (acc["n"] + 1).alias("n"))).otherwise(acc)
 
-    return F.aggregate(small, F.struct(large.alias("rest"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
+    start = F.struct(F.transform(large, lambda y: y["t"]).alias("rest"), F.lit(0).alias("n"))
+    return F.aggregate(small, start, step, lambda acc: acc["n"])

@@ -7,18 +7,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.plans.running import running_totals
 
-def block_pairs(records: DataFrame, keys: list[str], id_col: str = "PATID", carry: list[str] | None = None) -> DataFrame:
+
+def block_pairs(records: DataFrame, keys: list[str], id_col: str = "PATID", carry: list[str] | None = None, tile_rows: int = 4096) -> DataFrame:
     """PATID_A < PATID_B of records that share all keys (none of them null), with <carry>_a and <carry>_b.
 
-    An equi-join with a residual comparison; adaptive execution splits a large block's side.
-    One side is dealt by id first: where the other is small enough to be broadcast, the
-    pairs, of which there are many more than records, are then made by all tasks.
+    Both sides are dealt once, by the keys and a tile: a block of more than ``tile_rows``
+    records is cut into tiles by id, and each tile of one side meets the whole other side.
+    So a large block is made by many tasks, and no block is capped.
     """
     carry = carry or []
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = lambda s: records.dropna(subset=keys).select(*keys, F.col(id_col).alias(f"PATID_{s.upper()}"), *[F.col(c).alias(f"{c}_{s}") for c in carry])
-    return side("a").repartition(n, "PATID_A").join(side("b"), keys).where("PATID_A < PATID_B").drop(*keys)
+    known = records.dropna(subset=keys)
+    large = known.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > tile_rows)
+    large = large.select(*keys, F.ceil(F.col("__n") / tile_rows).cast("int").alias("__tiles"))
+    known = known.select(*keys, F.col(id_col).alias("__id"), *carry).join(large, keys, "left")
+    tiles = F.coalesce("__tiles", F.lit(1))
+    own = known.withColumn("__tile", F.pmod(F.xxhash64("__id"), tiles).cast("int"))
+    every = known.withColumn("__tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    side = lambda df, s: df.select(*keys, "__tile", F.col("__id").alias(f"PATID_{s.upper()}"), *[F.col(c).alias(f"{c}_{s}") for c in carry]).repartition(n, *keys, "__tile")
+    # a join that needs just this dealing: broadcasting a small side would leave the many pairs to few tasks
+    return side(own, "a").join(side(every, "b").hint("shuffle_hash"), [*keys, "__tile"]).where("PATID_A < PATID_B").drop(*keys, "__tile")
 
 
 def block_sizes(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,6 +36,19 @@ def block_sizes(records: DataFrame, keys: list[str]) -> DataFrame:
     return records.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("records")).withColumn("pairs", F.expr("records * (records - 1) div 2"))
 
 
+def block_budget(records: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Blocks with their records and pairs, smallest first, and whether each is within a budget of ``most`` pairs in all.
+
+    Nothing is dropped without a row that says so: pairs are then made of the blocks that
+    are ``kept``, and the others' rows report what was not.
+    """
+    sizes = block_sizes(records, keys)
+    sizes = sizes.withColumn("key", F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    sizes = sizes.withColumn("rank", F.concat(F.lpad(F.col("pairs").cast("string"), 20, "0"), F.lit("|"), "key"))
+    out = running_totals(sizes, "rank", {"pairs": "pairs_so_far"})
+    return out.select(*keys, "records", "pairs", "pairs_so_far", (F.col("pairs_so_far") <= most).alias("kept"))
+
+
 def add_side(records: DataFrame, side: str, fields: list[str], id_col: str = "PATID") -> DataFrame:
     """PATID_<side> with <field>_<side> columns."""
     return records.select(F.col(id_col).alias(f"PATID_{side.upper()}"), *[F.col(f).alias(f"{f}_{side}") for f in fields])

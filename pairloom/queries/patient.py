@@ -71,6 +71,7 @@ SELECT 'C' || cast(k as {text}) AS PATID, k AS entity, nation, segment, true AS
 
 
 PATIENTS = _sql(False)
+BLOCK = ["nation", "segment"]
 #: Pairs of one nation and segment in the order of their ids, with label 1 for one entity.
 PAIRS = f"""SELECT a.PATID AS PATID_A, b.PATID AS PATID_B, CAST(a.entity = b.entity AS INTEGER) AS label
 FROM ({PATIENTS}) a JOIN ({PATIENTS}) b ON a.nation = b.nation AND a.segment = b.segment AND a.PATID < b.PATID"""
@@ -86,5 +87,5 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from pyspark.sql import functions as F
 
-    out = block_pairs(patients(spark, sf_dir).select("PATID", "entity", "nation", "segment"), ["nation", "segment"], "PATID", ["entity"])
+    out = block_pairs(patients(spark, sf_dir).select("PATID", "entity", "nation", "segment"), BLOCK, "PATID", ["entity"])
     return out.select("PATID_A", "PATID_B", (F.col("entity_a") == F.col("entity_b")).cast("int").alias("label"))
