@@ -38,4 +38,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_decontaminate": sql.OP9}
+    return {"op3_cover_tree_pairs": sql.OP3, "op7_suffix_tree_dedup": sql.OP7, "op9_decontaminate": sql.OP9}

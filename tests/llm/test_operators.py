@@ -1,9 +1,11 @@
 """Each operator against a plain version on small inputs with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import html
 import itertools
 import math
 import random
+import re
 import time
 import zlib
 
@@ -525,6 +527,21 @@ def test_held_out_pages():
     assert hit / (hit + over) > 0.95 and hit / (hit + miss) > 0.95
 
 
+def by_template(page):
+    """The article of a given page, read by the template that these pages have."""
+    inside = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)[1]
+    blocks = re.split(r"</?(?:p|h[1-6]|ul|ol|li|table|tbody|tr|td|th|blockquote|pre)\b[^>]*>", re.sub(r"<!--.*?-->", "", inside, flags=re.S))
+    plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+    return " ".join(b for b in plain if b)
+
+
+def test_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    want = {r["page_id"]: by_template(r["html"]) for r in pages.collect()}
+    got = htmlextract.op1_html_text(spark, "/root/testdata/sf0.01").collect()
+    assert len(want) == len(got) > 200 and all(r["text"] == want[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_page_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>Hello there, you.</p>", "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmlextract.extract_text(df).collect()) == [(1, "Hello there, you.", 17), (2, "", 0), (2, "", 0)]
@@ -590,3 +607,38 @@ def test_sites_are_shrunk():
     rate, strength = quality._prior(3, 300, 60.0, 100 * (0.2**2) * 3, 30000)
     assert rate == 0.2 and strength > 100  # hosts that do not differ: a strong prior
     assert quality._prior(2, 200, 100.0, 100 * (0.9**2 + 0.1**2), 20000)[1] < 5  # hosts that do: a weak one
+
+
+# whole queries and very long texts
+
+
+@pytest.mark.parametrize("name", ["op3_cover_tree_pairs", "op7_suffix_tree_dedup"])
+def test_same_rows_as_sql(spark, name):
+    from pairloom.llm.queries import oracle_sql, queries
+
+    check(queries()[name](spark, SF), connect(SF), oracle_sql()[name])
+
+
+def test_very_long_texts(spark):
+    """A text of 8 MB twice and a word of 8 MB through the operators on documents, within a bound that only near-linear work meets."""
+    r = random.Random(4)
+    pool = [f"w{k}" for k in range(5000)]
+    long = " ".join(r.choices(pool, k=1_500_000))
+    texts = [(1, long), (2, long), (3, "y" * 8_000_000), (4, " ".join(long.split()[:40]) + " end")]
+    df = docs_of(spark, texts).cache()
+    n = {i: len(t.split()) for i, t in texts}
+    began = time.time()
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substrings.remove_repeats(df, kept_col=None).collect()}
+    assert got == {1: (n[1], 0), 2: (n[1], n[1]), 3: (1, 0), 4: (41, 40)}
+    bench = spark.createDataFrame([(7, " ".join(long.split()[100:160])), (8, "none of these words")], "item_id long, text string")
+    found = {x["doc_id"]: (x["n_words"], x["n_hit"], [m["length"] for m in x["matches"]]) for x in decontam.scan_benchmark(df, bench).collect()}
+    assert found == {1: (n[1], 60, [60]), 2: (n[1], 60, [60]), 3: (1, 0, []), 4: (41, 0, [])}
+    marked = {x["doc_id"]: x["component_id"] for x in simhash.simhash_components(df).collect()}
+    assert marked[1] == marked[2] == 1 and marked[3] == 3
+    assert {x["doc_id"]: x["size"] for x in sharding.hilbert_shards(df).collect()} == {i: len(t) + 1 for i, t in texts}
+    assert quality.score_documents(df, quality.Evidence.fit([]), keep_text=False).count() == 4
+    own = Scratch(spark, "tokens")
+    rows = {x["doc_id"]: x["n_tokens"] for x in tokenfiles.read_token_files(tokenfiles.write_token_files(df.where("doc_id != 3"), f"{own.path}/files", shards=2, scratch=own), with_ids=False).collect()}
+    assert rows == {x["doc_id"]: x["n_tokens"] + 1 for x in bpe.encode_and_decode(df.where("doc_id != 3")).collect()}
+    own.drop()
+    assert time.time() - began < 400
