@@ -8,10 +8,11 @@ fields are forced to be equal.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.similarity import NICKNAMES
+from pairloom.functions.text import filtered_token
 from pairloom.operators.schema import FEATURES, RENAMES
 
 MEN = ["JAMES", "ROBERT", "MICHAEL", "DAVID", "JOSE", "DANIEL", "ANTHONY", "CHRISTOPHER", "THOMAS", "CHARLES", "MANUEL", "FRANCISCO", "MATTHEW", "RICHARD", "JOSEPH", "WILLIAM"]
@@ -24,6 +25,35 @@ AREAS = ["773", "312", "872", "224", "847", "708", "630", "815"]
 DOMAINS = ["GMAIL.COM", "YAHOO.COM", "HOTMAIL.COM", "AOL.COM"]
 
 
+#: Area codes by region; other states have those of Illinois outside Chicago.
+AREA_CODES = {
+    "CHICAGO": ["773", "312", "872", "224", "847", "708", "630", "815", "331", "464"], "IL_OTHER": ["847", "708", "630", "815", "224", "331"], "KY": ["859", "502", "606", "270"], "HI": ["808"], "WY": ["307"],
+    "MD": ["410", "443", "240", "301"], "NY": ["646", "347", "718", "212", "607", "315", "917"], "IN": ["219", "765", "574", "317"], "CA": ["530", "916", "415", "510"],
+}
+#: How often each field differs between two records of one entity.
+DIFFER_RATES = {"last_name": 0.28, "first_name": 0.12, "middle_change": 0.16, "middle_one_missing": 0.22, "dob": 0.13, "address_move": 0.70, "phone_no_overlap": 0.65, "email": 0.43, "sex": 0.015}
+#: Shares of entities with 1 to 5 records, by identifier band.
+RECORDS_OF = {"full_ssn": (0.874, 0.111, 0.013, 0.0015, 0.0005), "last4": (0.816, 0.143, 0.031, 0.0085, 0.0015), "no_ssn": (0.838, 0.130, 0.025, 0.005, 0.002)}
+UNISEX = ("GUADALUPE",)
+
+
+def name_gender(name: Column) -> Column:
+    """MALE or FEMALE by the first word of a given name of the pools, null for others and for names of both."""
+    word = F.upper(F.split_part(F.trim(name), F.lit(" "), F.lit(1)))
+    known = lambda pool: word.isin(*[n for n in pool if n not in UNISEX])
+    return F.when(known(WOMEN), "FEMALE").when(known(MEN), "MALE")
+
+
+def region_for(city: Column, state: Column) -> Column:
+    """The phone region of a place; a null place is somewhere in Illinois."""
+    chicago = F.when(city == "CHICAGO", "CHICAGO").otherwise("IL_OTHER")
+    return F.when(state == "IL", chicago).when(state.isin(*AREA_CODES), state).otherwise("IL_OTHER")
+
+
+def band_of(ssn: Column, last4: Column) -> Column:
+    return F.when(ssn.isNotNull(), "full_ssn").when(last4.isNotNull(), "last4").otherwise("no_ssn")
+
+
 def u(stream: str, eid: str, seed: int) -> str:
     """SQL of a number of [0, 1) for an entity and stream."""
     return f"(conv(substr(md5(concat('{seed}:', {eid}, ':{stream}')), 1, 8), 16, 10) / 4294967296.0D)"
@@ -168,6 +198,105 @@ def _records(df: DataFrame, eid: str, seed: int, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}{f}": F.expr(x) for f, x in entity(eid, seed).items()})
 
 
+def drifted(df: DataFrame, key: str, seed: int, only: str = "true") -> DataFrame:
+    """Each field changed, independently, as often as it differs between records of one entity.
+
+    ``df`` has the fields and those of a spare entity as s_<field>; ``key``: SQL of what
+    the draws go by; ``only``: SQL of the rows that drift.
+    """
+    initial = {n[0]: n for n in sorted(MEN + WOMEN, reverse=True)}
+    expanded = "CASE middle_name " + " ".join(f"WHEN '{i}' THEN '{n}'" for i, n in initial.items()) + " ELSE middle_name END"
+    surname = f"CASE WHEN w < 0.45 AND NOT sex <=> 'MALE' THEN s_last_name WHEN w < 0.6 AND last_name LIKE '% %' THEN {TWO} ELSE {typo('last_name')} END"
+    unit = "CASE WHEN address2 = 'APT 7' THEN 'APT 9' ELSE 'APT 7' END"
+    mail = f"CASE WHEN w < 0.15 AND email LIKE '%GMAIL.COM' THEN replace(email, 'GMAIL.COM', 'GMIAL.COM') ELSE {OTHER_MAIL} END"
+    steps: list[tuple[str, float, str, dict[str, str]]] = [
+        ("last_name", DIFFER_RATES["last_name"], "true", {"last_name": surname}),
+        ("first_name", DIFFER_RATES["first_name"], "true", {"first_name": f"CASE WHEN w < 0.4 THEN {NICK} ELSE {typo('first_name')} END"}),
+        ("middle", DIFFER_RATES["middle_change"], "middle_name IS NOT NULL", {"middle_name": f"CASE WHEN length(middle_name) > 1 THEN substr(middle_name, 1, 1) ELSE {expanded} END"}),
+        ("no_middle", DIFFER_RATES["middle_one_missing"], "true", {"middle_name": NULL}),
+        ("dob", DIFFER_RATES["dob"], "dob IS NOT NULL", {"dob": DRIFT}),
+        ("move", DIFFER_RATES["address_move"], "true", MOVE),
+        ("unit", 0.2, f"{u('drift-move', key, seed)} >= {DIFFER_RATES['address_move']} AND address2 IS NOT NULL", {"address2": unit}),
+        ("phone", DIFFER_RATES["phone_no_overlap"], "true", OTHER_PHONE),
+        ("email", DIFFER_RATES["email"], "email IS NOT NULL", {"email": mail}),
+        ("sex", DIFFER_RATES["sex"], "sex IS NOT NULL", {"sex": "CASE WHEN sex = 'MALE' THEN 'FEMALE' ELSE 'MALE' END"}),
+    ]
+    names, held = df.columns, "d" in df.columns
+    out = df.withColumnRenamed("d", "__d") if held else df
+    for name, rate, where, change in steps:
+        out = out.withColumns({"d": F.expr(u(f"drift-{name}-d", key, seed)), "w": F.expr(u(f"drift-{name}-w", key, seed))})
+        hit = f"({only}) AND ({where}) AND {u(f'drift-{name}', key, seed)} < {rate}"
+        out = out.withColumns({f: F.expr(f"CASE WHEN {hit} THEN {x} ELSE {f} END") for f, x in change.items()})
+    out = out.drop("d", "w")
+    return out.withColumnRenamed("__d", "d").select(*names) if held else out.select(*names)
+
+
+def entity_records(spark: SparkSession, n: int, seed: int, first: int = 0, full: float = 0.21, last4: float = 0.2) -> DataFrame:
+    """PATID, entity_id and fields of one to five records of each of n entities: the first as it is, the others drifted."""
+    r = lambda s: u(s, "eid", seed)
+    df = _records(_records(spark.range(first, first + n).selectExpr("id AS eid"), "eid", seed, ""), "concat('spare', eid)", seed, "s_")
+    df = df.withColumns({"ssn": F.expr(f"CASE WHEN {r('has_id')} < {full} THEN ssn END"), "ssn4": F.expr(f"CASE WHEN {r('has_id')} < {full + last4} THEN ssn4 END")})
+    many = F.lit(1)
+    for band, shares in RECORDS_OF.items():
+        at, upto = F.expr(r("records")), 0.0
+        for share in shares[:-1]:
+            upto += share
+            many = many + F.when((band_of(F.col("ssn"), F.col("ssn4")) == band) & (at >= upto), 1).otherwise(0)
+    df = df.withColumn("k", F.explode(F.sequence(F.lit(1), many)))
+    out = drifted(df, "concat(eid, '-', k)", seed, "k > 1")
+    return out.select(F.expr("concat('E', eid, 'R', k)").alias("PATID"), F.col("eid").alias("entity_id"), *FEATURES)
+
+
+def held_out(entity: Column, seed: int, share: float = 0.15) -> Column:
+    """Whether an entity is one of the test's: by a hash, so that no entity is on both sides."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), entity.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32) < share
+
+
+def enforce_band(pairs: DataFrame, band: Column, seed: int) -> DataFrame:
+    """Matches with identifiers as their band has them: "easy" full numbers on both sides, "last4" the last four only, else none that match.
+
+    In the last, three quarters of the records have none and an eighth or so the last four
+    alone; an address that both have is drawn anew for 85 of 100; and no pair stays equal in
+    name, date and address.
+    """
+    draw_of = lambda s: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{s}"), "PATID_A", "PATID_B")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    spare = F.concat(F.lit("7"), F.lpad(F.floor(draw_of("ssn") * 90_000_000).cast("string"), 8, "1"))
+    ssn = F.coalesce("ssn_l", "ssn_r", spare)
+    tail = F.coalesce("ssn4_l", "ssn4_r", F.right(spare, F.lit(4)))
+    easy, last4, hard = band == "easy", band == "last4", ~band.isin("easy", "last4")
+    cols = {}
+    for s in ("l", "r"):
+        t = draw_of(f"strip-{s}")
+        cols[f"ssn_{s}"] = F.when(easy, ssn).when(last4 | (t < 0.9), F.lit(None).cast("string")).otherwise(F.col(f"ssn_{s}"))
+        cols[f"ssn4_{s}"] = F.when(easy, F.right(ssn, F.lit(4))).when(last4, tail).when(t < 0.75, F.lit(None).cast("string")).otherwise(F.col(f"ssn4_{s}"))
+    out = pairs.withColumns(cols)
+    alike = lambda f: hard & F.coalesce(F.col(f"{f}_l") == F.col(f"{f}_r"), F.lit(False))
+    moved = F.concat(F.lit("9"), F.col("address_r"))
+    out = out.withColumns({"ssn_r": F.when(alike("ssn"), F.lit(None).cast("string")).otherwise(F.col("ssn_r")), "ssn4_r": F.when(alike("ssn4"), F.lit(None).cast("string")).otherwise(F.col("ssn4_r")), "address_r": F.when(alike("address") & (draw_of("move") < 0.85), moved).otherwise(F.col("address_r"))})
+    equal = F.lit(True)
+    for f in ("first_name", "last_name", "dob", "address"):
+        equal = equal & F.col(f"{f}_l").eqNullSafe(F.col(f"{f}_r"))
+    return out.withColumn("last_name_r", F.when(equal, F.concat(F.coalesce("last_name_r", F.lit("")), F.lit("Z"))).otherwise(F.col("last_name_r")))
+
+
+def build_pools(records: DataFrame, fields: tuple[str, ...] = ("first_name", "last_name"), k: int = 20, top: int = 100) -> dict[str, dict[str, list]]:
+    """Weighted heads of real values that at least k records have, with the curated names as tail; and street stems.
+
+    What cleaning takes for no name, suffixes and numbers are left out. The result is of bounded size.
+    """
+    tails = {"first_name": sorted(set(MEN + WOMEN)), "last_name": sorted(set(SURNAMES))}
+    out: dict[str, dict[str, list]] = {}
+    for f in fields:
+        head = records.where(F.col(f).isNotNull() & ~filtered_token(f)).groupBy(F.col(f).alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        out[f] = {"weighted_head": [[r["v"], r["n"]] for r in head.orderBy(F.desc("n"), "v").limit(top).collect()], "tail": tails.get(f, [])}
+    word = F.element_at(F.split(F.trim("address"), " "), -1)
+    kind = word.isin(*KINDS)
+    stem = F.when(kind & (F.size(F.split(F.trim("address"), " ")) > 1), F.element_at(F.split(F.trim("address"), " "), -2)).otherwise(word)
+    stems = records.where(F.col("address").isNotNull()).select(stem.alias("v")).where(~F.col("v").rlike("^[0-9]+$")).groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    out["street"] = {"names": sorted({r["v"] for r in stems.orderBy(F.desc("n"), "v").limit(top).collect()} | set(STREETS))}
+    return out
+
+
 def _finish(df: DataFrame, label: int) -> DataFrame:
     changed = F.to_json(F.filter(F.array(*[F.when(~F.col(f"{f}_l").eqNullSafe(F.col(f"{f}_r")), f) for f in FEATURES]), lambda x: x.isNotNull()))
     out = df.withColumn("label", F.lit(label)).withColumn("corruptions_applied", changed if label else F.lit("[]"))
@@ -184,6 +313,9 @@ def matches(spark: SparkSession, n: int, seed: int, first: int = 0, bands: tuple
     df = df.withColumns({f: F.expr(_by_case(f, {c: x[1] for c, x in MATCHES.items()}, f)) for f in FEATURES})
     copy = {f"{f}_r": F.expr(_by_case(f, {c: x[2] for c, x in MATCHES.items()}, f)) for f in FEATURES}
     df = df.withColumns(copy | {f"{f}_l": F.col(f) for f in FEATURES})
+    # people without a number move often: few of their pairs have one address
+    unnumbered = ", ".join(repr(c) for c in _cases(MATCHES, ("none",)))
+    df = df.withColumn("address_r", F.expr(f"CASE WHEN case_type IN ({unnumbered}) AND address_r = address_l AND {r('mobile')} < 0.85 THEN s_address ELSE address_r END"))
     ids = {"PATID_A": F.expr("concat('E', eid, 'A')"), "PATID_B": F.expr("concat('E', eid, 'B')"), "entity_id_a": F.col("eid"), "entity_id_b": F.col("eid")}
     return _finish(df.withColumns(ids), 1)
 
@@ -193,9 +325,11 @@ def nonmatches(spark: SparkSession, n: int, seed: int, first: int, easy: float =
     r = lambda s: u(s, "eid", seed)
     case = _choose(cases, r("case")) if cases else f"CASE WHEN {r('band')} < {easy} THEN {_choose(_cases(NONMATCHES, ('easy',)), r('case'))} WHEN {r('band')} < {easy + named} THEN {_choose(_cases(NONMATCHES, ('hard',)), r('case'))} ELSE 'NM-HARD' END"
     df = spark.range(0, n).selectExpr(f"{first} + 2 * id AS eid").withColumn("case_type", F.expr(case)).withColumn("d", F.expr(r("draw"))).withColumns({f"k{i}": F.expr(r(f"key{i}")) for i in range(len(KEYS))})
-    df = _records(df, "eid", seed, "")
+    spare = [f"s_{f}" for f in FEATURES]
+    bulk = "case_type = 'NM-HARD'"
+    df = drifted(_records(_records(df, "eid", seed, ""), "concat('spare', eid)", seed, "s_"), "eid", seed, bulk).drop(*spare)
     df = df.withColumns({f: F.expr(_by_case(f, {c: x[1] for c, x in NONMATCHES.items()}, f)) for f in FEATURES}).withColumnsRenamed({f: f"a_{f}" for f in FEATURES})
-    df = _records(df, "(eid + 1)", seed, "")
+    df = drifted(_records(_records(df, "(eid + 1)", seed, ""), "concat('spare', eid + 1)", seed, "s_"), "(eid + 1)", seed, bulk).drop(*spare)
     df = df.withColumns({f"{f}_r": F.expr(_by_case(f, {c: x[2] for c, x in NONMATCHES.items()}, f)) for f in FEATURES} | {f"{f}_l": F.col(f"a_{f}") for f in FEATURES})
     # no two entities may agree on first and last name, date and address at once
     same = " AND ".join(f"{f}_l <=> {f}_r" for f in ("first_name", "last_name", "dob", "address"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions.similarity import jaro_winkler
+from pairloom.operators.aggregates import percentiles, side_by_side
 from pairloom.plans.running import running_totals
 
 
@@ -127,3 +129,34 @@ def worst_errors(df: DataFrame, k: int, ties: list[str], truth: str = "label", p
 
 def cost_per_1k_tokens(hourly_price: float, tokens_per_second: float, instances: int) -> float:
     return hourly_price / (tokens_per_second * instances * 3600) * 1000
+
+
+def mean_f1(scores: DataFrame) -> DataFrame:
+    """Mean F1 over data sets, each counting alike: one row."""
+    return scores.agg(F.count("*").alias("datasets"), F.round(F.avg("f1"), 6).alias("mean_f1"))
+
+
+def review_queue(decided: DataFrame, pred: str = "rule_pred", label: str = "label") -> DataFrame:
+    """What is in the review queue, and where the positives went: one row."""
+    at = lambda d: F.col(pred) == d
+    pos = F.col(label) == 1
+    row = decided.agg(
+        F.count("*").alias("pairs"), F.count_if(at("review")).alias("queue"), F.count_if(at("review") & pos).alias("queue_positives"),
+        F.count_if(pos).alias("positives"), F.count_if(at("match") & pos).alias("matched_positives"), F.count_if(at("non_match") & pos).alias("lost_positives"),
+    )
+    share = lambda a, b: F.round(safe(F.col(a).cast("double"), F.col(b).cast("double")), 6)
+    return row.select("*", share("queue", "pairs").alias("queue_share"), share("queue_positives", "queue").alias("queue_positive_rate"), share("matched_positives", "positives").alias("auto_recall"), share("lost_positives", "positives").alias("lost_share"))
+
+
+def name_calibration(pairs: DataFrame, fields: tuple[str, ...] = ("first_name", "last_name"), label: str = "label", sides: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Jaro-Winkler of names that differ, all fields together, by class: n, mean and the deciles.
+
+    Equal pairs of names are counted first, so each distinct pair is compared once.
+    """
+    one = [F.struct(F.col(f"{f}_{sides[0]}").alias("x"), F.col(f"{f}_{sides[1]}").alias("y")) for f in fields]
+    long = pairs.select(F.col(label).alias("label"), F.explode(F.array(*one)).alias("n")).select("label", "n.*").where("x != y AND x != '' AND y != ''")
+    counts = long.groupBy("label", "x", "y").agg(F.count("*").alias("times")).withColumn("jw", F.round(jaro_winkler(F.col("x"), F.col("y")), 9))
+    out = counts.groupBy("label").agg(F.sum("times").alias("n"), F.round(F.sum(F.col("jw") * F.col("times")) / F.sum("times"), 6).alias("mean"))
+    deciles = {f"p{k}": k / 100 for k in range(10, 100, 10)}
+    q = percentiles(counts, ["label"], "jw", deciles, "times")
+    return side_by_side(out, q, ["label"]).select("label", "n", "mean", *[F.round(c, 6).alias(c) for c in deciles])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.dates import decade, dob_relation, parse_date
+from pairloom.operators.aggregates import percentiles, side_by_side
 from pairloom.operators.pairs import block_pairs
 
 TAIL = "__OTHER__"
@@ -29,10 +30,11 @@ def top_values(df: DataFrame, value: Column, k: int = 20, top: int = 25, by: lis
 
 
 def length_profile(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
-    n = F.length(value).cast("double")
-    q = F.percentile(n, F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95)]))
-    out = df.where(value.isNotNull()).groupBy(*(by or [])).agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_pop(n), 6).alias("std"), q.alias("q"))
-    return out.select(*(by or []), "n", "mean", "std", *[F.col("q")[i].cast("int").alias(f"p{p}") for i, p in enumerate((5, 50, 95))])
+    by = by or []
+    lengths = df.where(value.isNotNull()).select(*by, F.length(value).cast("double").alias("length"))
+    out = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("length"), 6).alias("mean"), F.round(F.stddev_pop("length"), 6).alias("std"))
+    q = percentiles(lengths, by, "length", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    return side_by_side(out, q, by).select(*by, "n", "mean", "std", *[F.col(c).cast("int").alias(c) for c in ("p5", "p50", "p95")])
 
 
 def token_profile(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import filtered_token, is_ascii_upper, name_token_set, valid_last4, valid_phone, valid_ssn, valid_zip
+from pairloom.operators.aggregates import with_share
+from pairloom.operators.generate import band_of, name_gender
 from pairloom.operators.schema import FEATURES, same_schema
 
 #: Shares of records with a field, and how far a corpus may be from them.
@@ -56,6 +58,13 @@ def run_checks(train: DataFrame, test: DataFrame) -> DataFrame:
         ("address_equal_share", "warn", F.avg(F.when(pos, equal("address").cast("double"))), 0.34, "<="), ("differing_fields_mean", "report", F.avg(F.when(pos, F.size(F.from_json("corruptions_applied", "array<string>")))), 0.0, ">="),
         ("anchor_survives", "report", F.avg(F.when(pos, (same("ssn4") | same("address") | same("phone") | (same("first_name", "last_name") & same("dob"))).cast("double"))), 0.0, ">="), ("surname_changed_women", "report", F.avg(F.when(pos & (F.col("sex_l") == "FEMALE"), (~same("last_name")).cast("double"))), 0.0, ">="),
     ]
+    nameless = tokens("l") == tokens("r")
+    sexed = lambda s: F.when(F.col(f"sex_{s}").isNotNull(), (name_gender(F.col(f"first_name_{s}")) == F.col(f"sex_{s}")).cast("double"))
+    per_table += [
+        ("negatives_like_matches_without_ssn", "report", F.avg(F.when(neg, (nameless & equal("dob") & ~equal("ssn") & ~equal("ssn4")).cast("double"))), 0.0, ">="),
+        ("name_sex_agreement", "report", (F.avg(sexed("l")) + F.avg(sexed("r"))) / 2, 0.0, ">="),
+        ("surname_changed_men", "report", F.avg(F.when(pos & (F.col("sex_l") == "MALE"), (~same("last_name")).cast("double"))), 0.0, ">="),
+    ]
     per_table += [(f"presence_{f}", "warn", F.abs((F.avg(F.col(f"{f}_l").isNotNull().cast("double")) + F.avg(F.col(f"{f}_r").isNotNull().cast("double"))) / 2 - t), TOLERANCE, "<=") for f, t in PRESENCE.items()]
 
     def checks(df: DataFrame, name: str) -> DataFrame:
@@ -72,6 +81,23 @@ def run_checks(train: DataFrame, test: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [schema, checks(train, "train"), checks(test, "test"), disjoint, keyed])
 
 
+def distributions(pairs: DataFrame, real: DataFrame | None = None) -> DataFrame:
+    """Shares of state, sex, decade of birth, email domain and identifier band over all records of a corpus.
+
+    With ``real`` (part, value, share) the population's own shares stand beside, and the difference.
+    """
+    side = lambda s: [F.col(f"{f}_{s}").alias(f) for f in ("state", "sex", "dob", "email", "ssn", "ssn4")]
+    records = pairs.select(*side("l")).unionAll(pairs.select(*side("r")))
+    parts = {"state": F.col("state"), "sex": F.col("sex"), "decade": F.concat(F.substring("dob", 1, 3), F.lit("0")), "email_domain": F.when(F.col("email").contains("@"), F.element_at(F.split("email", "@"), -1)), "ssn_band": band_of(F.col("ssn"), F.col("ssn4"))}
+    long = records.select(F.explode(F.array(*[F.struct(F.lit(n).alias("part"), c.alias("value")) for n, c in parts.items()])).alias("r")).select("r.*").where("value IS NOT NULL")
+    counts = long.groupBy("part", "value").agg(F.count("*").alias("n"))
+    out = with_share(counts, "n", "share", ["part"], 1.0)
+    if real is None:
+        return out
+    both = out.join(real.withColumnRenamed("share", "real_share"), ["part", "value"], "full_outer").na.fill(0.0, ["share", "real_share"]).na.fill(0, ["n"])
+    return both.withColumn("difference", F.round(F.col("share") - F.col("real_share"), 4))
+
+
 def require_hard(checks: DataFrame) -> None:
     bad = [r["check_name"] for r in checks.where("kind = 'hard' AND NOT coalesce(ok, false)").collect()]
     if bad:

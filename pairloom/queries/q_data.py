@@ -36,7 +36,7 @@ def _mode(mode):
 
 def prompt_texts(spark, sf_dir):
     cols = [f"{f}_l" for f in PART] + [f"{f}_r" for f in PART]
-    return _lr(spark, sf_dir).select("PATID_A", "PATID_B", Z.prompt(cols, "entity").alias("entity"), Z.joined_values([f"{f}_l" for f in PART]).alias("joined"))
+    return _lr(spark, sf_dir).select("PATID_A", "PATID_B", *[Z.prompt(cols, kind).alias(f"prompt_{kind}") for kind in Z.PROMPTS], Z.joined_values([f"{f}_l" for f in PART]).alias("joined"))
 
 
 def flip_augment(spark, sf_dir):
@@ -53,7 +53,7 @@ def attribute_pairs(spark, sf_dir):
 
 
 def downsample_attr(spark, sf_dir):
-    return S.downsample_attributes(A.attribute_pairs(_lr(spark, sf_dir)), "left_value", "right_value", most=100)
+    return S.downsample_attributes(A.attribute_pairs(_lr(spark, sf_dir)), "left_value", "right_value", "label")
 
 
 def price_currency(spark, sf_dir):
@@ -232,7 +232,31 @@ for _s, _f in (("N", "NORTH"), ("S", "SOUTH"), ("E", "EAST"), ("W", "WEST"), ("S
 _LEVEL = "CASE WHEN x IS NULL OR y IS NULL THEN 'missing' WHEN x = y THEN 'exact' WHEN near_year OR near_day OR swapped THEN 'near' ELSE 'disagree' END AS level, CASE WHEN x IS NULL OR y IS NULL THEN NULL WHEN x = y THEN 'exact' WHEN swapped THEN 'transpose' WHEN near_day THEN 'off_day' WHEN near_year THEN 'off_year' ELSE 'other' END AS relation"
 _DATES = f"SELECT *, month(x) = month(y) AND day(x) = day(y) AND abs(year(x) - year(y)) = 1 AS near_year, year(x) = year(y) AND month(x) = month(y) AND abs(day(x) - day(y)) = 1 AS near_day, year(x) = year(y) AND month(x) = day(y) AND day(x) = month(y) AS swapped FROM (SELECT label, try_cast(dob_a AS DATE) AS x, try_cast(dob_b AS DATE) AS y FROM ({WIDE}))"
 
+_DRAW = lambda seed: f"md5(concat_ws(':', '{seed}', left_value, right_value, label)), left_value NULLS FIRST, right_value NULLS FIRST, label"
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+_nan = lambda s, sep: f" || '{sep}' || ".join(f"coalesce({f}_{s}, 'nan')" for f in PART)
+
+
+def _prompted(template: str) -> str:
+    before, rest = template.split("{a}")
+    middle, after = rest.split("{b}")
+    tab = chr(9)
+    return " || ".join([_quoted(before), _nan("l", tab), _quoted(middle), _nan("r", tab), _quoted(after)])
+
+
+_FILTERED = "upper(trim(middle_name))"
+
 ORACLES = {f"serialize_mode{k}": _text(k) for k in (1, 2, 3, 4)} | {
+    "prompt_texts": f"SELECT PATID_A, PATID_B, {', '.join(f'{_prompted(t)} AS prompt_{k}' for k, t in Z.PROMPTS.items())}, {_nan('l', ', ')} AS joined FROM ({_L})",
+    "downsample_attr": f"""WITH a AS ({ATTRIBUTES}), s AS (SELECT attribute, label, count(*) AS n FROM a GROUP BY ALL), m AS (SELECT attribute, min(n) AS least FROM s GROUP BY 1),
+e AS (SELECT r.* FROM (SELECT *, row_number() OVER (PARTITION BY attribute, label ORDER BY {_DRAW(42)}) AS k FROM a) r JOIN m ON r.attribute = m.attribute WHERE k <= least)
+SELECT left_value, right_value, label, attribute FROM (SELECT left_value, right_value, label, attribute, row_number() OVER (PARTITION BY attribute ORDER BY {_DRAW(43)}) AS k FROM e) WHERE k <= 800""",
+    "validators": f"""SELECT PATID, regexp_matches(ssn, '^[0-9]{{9}}$') AND substr(ssn, 1, 3) NOT IN ('000', '666') AND substr(ssn, 1, 1) <> '9' AND substr(ssn, 4, 2) <> '00' AND substr(ssn, 6, 4) <> '0000' AS ssn_ok,
+  regexp_matches(ssn4, '^[0-9]{{4}}$') AND ssn4 <> '0000' AS ssn4_ok, regexp_matches(zip, '^[0-9]{{5}}$') AS zip_ok,
+  CASE WHEN phone IS NOT NULL THEN len(list_filter(string_split(phone, ' '), lambda p: regexp_matches(p, '^[2-9][0-9]{{2}}[2-9][0-9]{{6}}$') AND substr(p, 5, 2) <> '11' AND substr(p, 4, 3) <> '555')) > 0 END AS phone_ok,
+  last_name = upper(last_name) AND regexp_matches(last_name, '^[\\x00-\\x7F]*$') AS upper_ok,
+  {_FILTERED} IN ({', '.join(_quoted(t) for t in X.FILTERED_TOKENS)}) OR regexp_matches({_FILTERED}, '^([0-9]+|ID[0-9]+)$') OR {' OR '.join(f'contains({_FILTERED}, {_quoted(t)})' for t in X.FILTERED_PARTS)} AS middle_filtered,
+  regexp_matches(address, '(?i)^(PO|P O|POST OFFICE) ?BOX') AS po_box FROM ({PATIENTS})""",
     "flip_augment": f"WITH l AS ({_L}) SELECT label, {', '.join(f'{f}_l, {f}_r' for f in PART)} FROM l UNION SELECT label, {', '.join(f'{f}_r, {f}_l' for f in PART)} FROM l",
     "permute_augment": f"WITH k AS ({_KEYED}), p AS (SELECT *, {_perm('l', _TWO)} AS pa, {_perm('r', _TWO)} AS pb FROM k) SELECT label, first_name_l, last_name_l, first_name_r, last_name_r, key FROM k UNION SELECT label, pb[1], pb[2], pa[1], pa[2], key FROM p",
     "attribute_pairs": ATTRIBUTES,

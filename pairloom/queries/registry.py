@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 FLAGSHIP = "rules_decision_counts"
-_MODULES: list[str] = ["q_rules", "q_labels", "q_metrics", "q_data", "q_profile", "q_generate"]
+_MODULES: list[str] = ["q_rules", "q_labels", "q_metrics", "q_data", "q_profile", "q_generate", "q_more"]
 
 
 def _merged(name: str) -> dict:
