@@ -117,6 +117,13 @@ def inner_with_dropped(left: DataFrame, right: DataFrame, keys: tuple[str, ...]
     return out, counts
 
 
+def with_predictions(pairs: DataFrame, scored: DataFrame, keys: tuple[str, ...] = ("PATID_A", "PATID_B")) -> tuple[DataFrame, DataFrame]:
+    """Pairs with their predictions, null where there is none, and one row that says how many are missing."""
+    out = pairs.join(scored.withColumn("__found", F.lit(True)), list(keys), "left")
+    report = out.agg(F.count("*").alias("pairs"), F.count_if(F.col("__found").isNull()).alias("missing"))
+    return out.drop("__found"), report
+
+
 def within_groups(records: DataFrame, keys: list[str], fields: list[str], id_col: str = "PATID") -> DataFrame:
     """All pairs of a group with both sides' fields."""
     return block_pairs(records, keys, id_col, fields)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.dates import decade, dob_relation, parse_date
+from pairloom.functions.text import is_po_box
 from pairloom.operators.aggregates import percentiles, side_by_side
 from pairloom.operators.pairs import block_pairs
 
@@ -91,6 +92,11 @@ def contact_profile(df: DataFrame, k: int = 20, top: int = 25) -> DataFrame:
     return top_values(long, F.col("v"), k, top, ["kind"])
 
 
+def po_box_share(df: DataFrame, address: str = "address") -> DataFrame:
+    """How many addresses there are, and the share of them that are PO boxes."""
+    return df.where(F.col(address).isNotNull()).agg(F.count("*").alias("addresses"), F.round(F.avg(is_po_box(address).cast("double")), 6).alias("po_box_share"))
+
+
 def mode_agreement(df: DataFrame, key: str, value: str) -> DataFrame:
     """Share of records whose value is the most common one of their key; the smallest of equally common ones."""
     counts = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))

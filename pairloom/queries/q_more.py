@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import aggregates as G
 from pairloom.operators import metrics as M
+from pairloom.operators import profile
 from pairloom.operators import records as R
 from pairloom.operators import rules
 from pairloom.operators import sampling as S
 from pairloom.operators import score as C
 from pairloom.operators import serialize as Z
+from pairloom.operators.pairs import with_predictions
 from pairloom.operators.generate import AREA_CODES, MEN, UNISEX, WOMEN, band_of, name_gender, region_for
-from pairloom.queries.patient import BLOCK, PATIENTS, pairs, patients
+from pairloom.queries.patient import BLOCK, PAIRS, PATIENTS, pairs, patients
 from pairloom.queries.q_data import PART, _lr, _text
 from pairloom.queries.q_metrics import _conf, _scores
 from pairloom.queries.q_rules import COMPARED, _case
@@ -95,6 +97,23 @@ def flip_permute_augment(spark, sf_dir):
     return Z.flip_permute_augment(keyed, "key")
 
 
+def po_box_share(spark, sf_dir):
+    boxed = patients(spark, sf_dir).withColumn("address", F.when(F.col("entity") % 10 == 0, F.concat(F.lit("PO BOX "), F.col("entity").cast("string"))).otherwise(F.col("address")))
+    return profile.po_box_share(boxed)
+
+
+def missing_predictions(spark, sf_dir):
+    """Pairs of which a model has scored all but a seventh."""
+    p = pairs(spark, sf_dir)
+    some = p.where(F.substring("PATID_A", 2, 20).cast("long") % 7 != 0).select("PATID_A", "PATID_B", F.lit(1).alias("pred"))
+    return with_predictions(p, some)[1]
+
+
+def softmax(spark, sf_dir):
+    d = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("no"), (F.col("p_partkey") % 50 / 10.0).alias("yes"))
+    return d.select("p_partkey", F.round(C.softmax_of_two(F.col("no"), F.col("yes")), 6).alias("p_yes"))
+
+
 def entity_bands(spark, sf_dir):
     """Identifier band, sex by given name, and phone region of each record."""
     p = patients(spark, sf_dir)
@@ -119,7 +138,7 @@ def token_lengths(spark, sf_dir):
     return C.within_length(texts, F.length("text"), 220)[1]
 
 
-QUERIES = {f.__name__: f for f in (two_level_crosstab, bucket_stats, distinct_counts, deciles, mean_f1, review_queue, name_calibration, renamed_columns, canonical_records, rederived_records, aligned_rows, round_robin, epoch_sample, flip_permute_augment, entity_bands, padded_tokens, token_lengths)}
+QUERIES = {f.__name__: f for f in (two_level_crosstab, bucket_stats, distinct_counts, deciles, mean_f1, review_queue, name_calibration, renamed_columns, canonical_records, rederived_records, aligned_rows, round_robin, epoch_sample, flip_permute_augment, entity_bands, padded_tokens, token_lengths, po_box_share, missing_predictions, softmax)}
 
 _PHONES = "nullif(array_to_string(list_sort(list_distinct(list_filter(string_split(phone, ' '), lambda x: x <> ''))), ' '), '')"
 _BLANK = "CASE WHEN {0} IS NULL OR lower(trim({0})) IN ('', 'nan', 'none', 'na', 'n/a', '<na>', 'nat') THEN '' ELSE upper(trim({0})) END"
@@ -151,6 +170,9 @@ ORACLES = {
     "two_level_crosstab": "SELECT l_linenumber, " + ", ".join(f"count(*) FILTER (l_returnflag = '{a}' AND l_linestatus = '{b}') AS {a}_{b}" for a, b in SHIPPED) + " FROM lineitem GROUP BY 1",
     "entity_bands": f"SELECT PATID, CASE WHEN ssn IS NOT NULL THEN 'full_ssn' WHEN ssn4 IS NOT NULL THEN 'last4' ELSE 'no_ssn' END AS band, CASE WHEN {_FIRST} IN ({_GIVEN(WOMEN)}) THEN 'FEMALE' WHEN {_FIRST} IN ({_GIVEN(MEN)}) THEN 'MALE' END AS name_sex, CASE WHEN state = 'IL' THEN CASE WHEN city = 'CHICAGO' THEN 'CHICAGO' ELSE 'IL_OTHER' END WHEN state IN ({', '.join(repr(a) for a in AREA_CODES)}) THEN state ELSE 'IL_OTHER' END AS region FROM ({PATIENTS})",
     "token_lengths": f"SELECT count(*) FILTER (length(text) <= 220) AS kept, count(*) FILTER (length(text) > 220) AS dropped FROM ({_MODE4})",
+    "po_box_share": f"SELECT count(*) AS addresses, round(avg(CASE WHEN regexp_matches(a, '(?i)^(PO|P O|POST OFFICE) ?BOX') THEN 1.0 ELSE 0.0 END), 6) AS po_box_share FROM (SELECT CASE WHEN entity % 10 = 0 THEN 'PO BOX ' || CAST(entity AS VARCHAR) ELSE address END AS a FROM ({PATIENTS})) WHERE a IS NOT NULL",
+    "missing_predictions": f"SELECT count(*) AS pairs, count(*) FILTER (CAST(substr(PATID_A, 2) AS BIGINT) % 7 = 0) AS missing FROM ({PAIRS})",
+    "softmax": "SELECT p_partkey, round(1 / (1 + exp(p_size / 10.0 - (p_partkey % 50) / 10.0)), 6) AS p_yes FROM part",
     "bucket_stats": "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 6) AS mean, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS rate, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 6) AS median FROM lineitem GROUP BY 1",
     "distinct_counts": f"WITH p AS ({PATIENTS}) SELECT 'entities' AS name, count(DISTINCT entity) AS n FROM p UNION ALL SELECT 'zip3', count(DISTINCT substr(zip, 1, 3)) FROM p UNION ALL SELECT 'names', count(DISTINCT (first_name, last_name)) FILTER (first_name IS NOT NULL AND last_name IS NOT NULL) FROM p",
     "deciles": "SELECT l_returnflag, l_linestatus, " + ", ".join(f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {v}), 6) AS {k}" for k, v in DECILES.items()) + " FROM lineitem GROUP BY ALL",

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +54,50 @@ def append_labels(updates: DataFrame, path: str) -> None:
     updates.select(*[f.split()[0] for f in GOLD_SCHEMA.split(", ")]).write.mode("append").parquet(path)
 
 
+def replace_table(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table beside the one at ``path`` and puts it in its place by renames, so a failed write leaves the old one whole.
+
+    A table may be replaced by one that reads it.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"))
+    fs = at.getFileSystem(conf)
+    df.write.parquet(new.toString())
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(new, at):
+        fs.rename(old, at)
+        raise OSError(f"can't put the new table at {path}")
+    fs.delete(old, True)
+    return spark.read.parquet(path)
+
+
 def compact_labels(spark: SparkSession, log: str, store: str) -> DataFrame:
     """The newest state of each pair as a table of its own; the log stays as it is."""
-    state = gold_state(read_log(spark, log), KEYS)
-    state.write.mode("overwrite").parquet(store)
-    return spark.read.parquet(store)
+    return replace_table(gold_state(read_log(spark, log), KEYS), store)
+
+
+def write_pools(pools: dict[str, dict], folder: str, spark: SparkSession) -> None:
+    """Each pool as one JSON file with sorted keys."""
+    for name, pool in pools.items():
+        text = json.dumps(pool, sort_keys=True, ensure_ascii=True, indent=2)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.json")
+
+
+def write_epochs(spark: SparkSession, path: str, epochs: list[dict]) -> None:
+    """One row a training round: its number, loss, score and seconds."""
+    rows = [(int(e["epoch"]), float(e["loss"]), float(e["score"]), float(e["seconds"])) for e in epochs]
+    write_csv(spark.createDataFrame(rows, "epoch int, loss double, score double, seconds double").coalesce(1), path, "overwrite")
+
+
+def save_model(model, path: str) -> None:
+    """A fitted pipeline in a folder that every executor can read; ``load_model`` gives it back."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    return PipelineModel.load(path)
 
 
 def write_report(path: str, parts: dict[str, DataFrame]) -> None:

@@ -12,6 +12,13 @@ from tokenizers import Tokenizer
 from pairloom.functions.similarity import near_tokens
 from pairloom.operators import aggregates, generate, pairs, qa, records, rules, sampling, score
 from pairloom.operators.schema import FEATURES
+from pairloom.plans.scratch import checkpoint_dir
+from pairloom.sources import sinks
+
+
+@pytest.fixture(autouse=True, scope="module")
+def folder(spark):
+    checkpoint_dir(spark)
 
 
 def test_percentiles(spark):
@@ -32,13 +39,13 @@ def test_block_pairs_in_tiles(spark):
     df = spark.createDataFrame(rows, "PATID int, block string, c int")
     want = {(a, b, x, y) for a, k, x in rows for b, j, y in rows if k is not None and k == j and a < b}
     for tile in (4096, 10):
-        got = pairs.block_pairs(df, ["block"], "PATID", ["c"], tile).collect()
+        got = pairs.block_pairs(df, ["block"], "PATID", ["c"], tile).select("PATID_A", "PATID_B", "c_a", "c_b").collect()
         assert len(got) == len(want) and {tuple(x) for x in got} == want
 
 
 def test_tokens_are_near_by_pairs_or_blocks(spark):
     """The same decisions whether equivalent tokens are looked for in the blocks, in the pairs, or in wide rows."""
-    g = generate.matches(spark, 60, 3).unionByName(generate.nonmatches(spark, 60, 3, 1000))
+    g = generate.matches(spark, 60, 3).unionByName(generate.nonmatches(spark, 60, 3, 1000)).checkpoint()
     recs = generate.records_of(g).withColumn("all", F.lit(1))
     p = g.select("PATID_A", "PATID_B")
     by_pairs = {tuple(x) for x in rules.classify(p, recs).collect()}
@@ -115,7 +122,7 @@ def test_enforced_bands(spark):
 
 
 def test_reports_of_a_corpus(spark):
-    p = generate.build_test(spark, 400)
+    p = generate.build_test(spark, 400).checkpoint()
     rows = qa.distributions(p).collect()
     assert {x["part"] for x in rows} == {"state", "sex", "decade", "email_domain", "ssn_band"}
     for part in {x["part"] for x in rows}:
@@ -132,3 +139,35 @@ def test_pools(spark):
     got = generate.build_pools(spark.createDataFrame(rows, "first_name string, address string"), ("first_name",))
     assert got["first_name"]["weighted_head"] == [["MARIA", 30]] and "OAK" in got["street"]["names"] and "LONE" not in got["street"]["names"]
     assert set(FEATURES) >= {"first_name", "address"}
+
+
+def test_shared_keys_and_rules_of_a_corpus(spark):
+    p = generate.build_test(spark, 300).checkpoint()
+    rows = p.where("label = 0").collect()
+    phones = lambda x: x["phone_l"] is not None and x["phone_r"] is not None and bool(set(x["phone_l"].split()) & set(x["phone_r"].split()))
+    want = Counter(sum(x[f"{f}_l"] is not None and x[f"{f}_l"] == x[f"{f}_r"] for f in qa.STRONG) + phones(x) for x in rows)
+    assert {x["keys"]: x["n"] for x in qa.shared_key_histogram(p).collect()} == dict(want)
+    out = rules.classify(p.select("PATID_A", "PATID_B", "label"), generate.records_of(p)).collect()
+    assert len(out) == 300 and sum(x["label"] == 0 and x["rule_pred"] == "match" for x in out) < 15
+
+
+def test_replaced_tables_and_models(spark, tmp_path):
+    at = str(tmp_path / "t")
+    first = sinks.replace_table(spark.range(5), at)
+    assert sinks.replace_table(first.where("id > 2"), at).count() == 2  # a table may be replaced by what reads it
+    assert [x.name for x in tmp_path.iterdir()] == ["t"]
+    p = spark.createDataFrame([(str(k), str(k + 1), "ANN" if k % 2 else "BOB", "ANN", k % 2) for k in range(40)], "PATID_A string, PATID_B string, first_name_a string, first_name_b string, label int")
+    model = score.train_scorer(p, ["first_name"])
+    sinks.save_model(model, str(tmp_path / "m"))
+    a, b = score.predictions(model, p, ["first_name"]).collect(), score.predictions(sinks.load_model(str(tmp_path / "m")), p, ["first_name"]).collect()
+    assert a == b and all(abs(x["proba_0"] + x["proba_1"] - 1) < 1e-5 and x["prediction"] == int(x["PATID_A"]) % 2 for x in a)
+    sinks.write_epochs(spark, str(tmp_path / "epochs"), [{"epoch": 1, "loss": 0.5, "score": 0.7, "seconds": 3}])
+    assert spark.read.csv(str(tmp_path / "epochs"), header=True).first().asDict() == {"epoch": "1", "loss": "0.5", "score": "0.7", "seconds": "3.0"}
+    sinks.write_pools({"street": {"names": ["OAK"]}}, str(tmp_path / "pools"), spark)
+    assert sinks.read_report(spark, str(tmp_path / "pools" / "street.json")) == {"names": ["OAK"]}
+
+
+def test_throughput_counts_padding(spark):
+    texts = spark.createDataFrame([("a",), ("bb",), ("cccc",), ("d",)], "text string").coalesce(1)
+    got = score.throughput(texts, lambda: lambda batch: [(1, 0.5) for _ in batch], F.length("text"), batch=2, runs=1)
+    assert got["rows"] == 4 and got["tokens"] == 2 * 1 + 2 * 4 and got["rows_per_second"] > 0
