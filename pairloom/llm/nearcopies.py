@@ -1,13 +1,20 @@
 """One document of each group of near copies: five-word sets whose Jaccard similarity is 0.8 or more, linked.
 
-64 bits of SimHash do not tell such pairs (they lie 4 to 11 bits apart), so the bits are
-followed by the exact search that they stand for. Equal texts are one class. The runs
-of words of a class are ordered rarest first; two sets of similarity t share one of their
-first n - ceil(t n) + 1 runs (prefix filtering; Chaudhuri et al., 2006), so the classes
+Equal texts are one class. A class has the 64-bit SimHash fingerprint of its runs of five
+words, and the covering tables of ``simhash.py`` give the pairs of fingerprints that differ
+in at most RADIUS bits. A pair counts if the whole sets are similar. Most pairs of
+similarity 0.8 lie 4 to 11 bits apart, so what those tables have not linked is looked for
+further: the runs of a class are ordered rarest first; two sets of similarity t share one of
+their first n - ceil(t n) + 1 runs (prefix filtering; Chaudhuri et al., 2006), so the classes
 meet in the buckets of those runs. A meeting counts if place and size allow t (Xiao et
 al., 2008) and if the folded fingerprints, the parity of the runs in each of 256 bits,
-differ in no more bits than runs may differ. None of these filters loses a pair, and every
-pair that is left is counted by its whole sets.
+differ in no more bits than runs may differ. None of these filters loses a pair, and a
+pair that is left is counted by its whole sets unless its classes are connected already.
+
+Pairs are counted in turns, each with the components of the turn before: those of the
+covering tables, one for each class (with the least class that it met), and the rest. The
+texts of a turn's classes are picked from the documents by a table of BITS bits before they
+are shuffled, so a turn moves the texts that it compares and few others.
 
 Runs that one class alone has among its first ones are dropped before anything else goes
 with them. Buckets of over CENTRES + 1 classes first meet their least CENTRES classes
@@ -34,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.simhash import shingle_hashes
+from pairloom.llm.simhash import fingerprint, link_fingerprints, shingle_hashes
 from pairloom.plans.graph import connected_components
 from pairloom.plans.hot import join_with_hot_keys
 from pairloom.plans.scratch import Scratch
 
-SAMPLE, HOT, CENTRES, ROUNDS, BLOCK = 20_000, 300_000, 2, 2, 8192
+RADIUS, SAMPLE, HOT, CENTRES, ROUNDS, BLOCK = 3, 20_000, 300_000, 2, 2, 8192
+#: Of the table that texts are picked by, and the keys up to which it is of use.
+BITS, KEYS = 1 << 26, 1 << 22
 #: Rows of texts or sets that a worker has in memory at once.
 SLICE = 256
 PLACE = ["token", "cls", "pos"]
@@ -100,10 +109,11 @@ def _marked(texts: DataFrame, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
             sets = [word_set(t.as_py()) for t in batch.column(2)]
             bits = np.array([folded(w) for w in sets], np.int64).reshape(-1, 4)
             first = [_first(w, hot, counts).tobytes() for w in sets]
-            cols = [pa.array([len(w) for w in sets], pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)], pa.array(first, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "h", "n", "b0", "b1", "b2", "b3", "first"])
+            fps = np.array([fingerprint(w) for w in sets], np.uint64).view(np.int64)
+            cols = [pa.array([len(w) for w in sets], pa.int64()), pa.array(fps), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)], pa.array(first, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "h", "n", "fp", "b0", "b1", "b2", "b3", "first"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, h string, n long, b0 long, b1 long, b2 long, b3 long, first binary")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, h string, n long, fp long, b0 long, b1 long, b2 long, b3 long, first binary")
 
 
 def _table(batch: pa.RecordBatch) -> np.ndarray:
@@ -229,38 +239,86 @@ def _between(rows: np.ndarray, nearest: bool) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose whole sets are similar."""
+    """The pairs of texts whose whole sets are similar; rows mostly come sorted by a."""
+    last, x = None, None
     for batch in _slices(batches):
         ok = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+        for a, one, two in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+            if a != last:
+                last, x = a, word_set(one.as_py())
+            y = word_set(two.as_py())
             ok.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))))
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["cls", "words"])
+def _marks(keys: DataFrame) -> np.ndarray | None:
+    """A table with the bits set that the keys, one column of longs, fall on; None if they are too many for it to tell."""
+    if keys.count() > KEYS:
+        return None
+    at = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(BITS)).alias("k")).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(BITS // 8, np.uint8)
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
+def _picked(rows: DataFrame, key: str, bits: np.ndarray | None, marked: bool = True) -> DataFrame:
+    """Of ``rows`` those whose long ``key`` falls on a set bit, or on none; without a table all rows are marked."""
+    if bits is None:
+        return rows if marked else rows.limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(key).to_numpy() & (BITS - 1)
+            yield batch.filter(pa.array(((bits[at >> 3] >> (at & 7)) & 1 == 1) == marked))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _dealt(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, schema)
 
 
+def _fingerprint_pairs(classes: DataFrame, own: Scratch) -> DataFrame:
+    """(a, b): pairs of classes that connect all whose fingerprints differ in at most RADIUS bits."""
+    alike = own.write(classes.groupBy("fp").agg(F.min("cls").alias("least"), F.count("*").alias("n_rows")), "alike")
+    links = link_fingerprints(alike.select("fp", "least"), own, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = join_with_hot_keys(classes.select("fp", "cls"), alike.where("n_rows > 1"), "fp", "n_rows", classes.count())
+    return own.write(links.unionAll(same.where("least < cls").select("least", "cls")).distinct(), "tables")
+
+
+def _unconnected(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    ends = [joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
+    return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _joined_by(links: DataFrame, joined: DataFrame | None, own: Scratch) -> DataFrame:
+    """(id, component) of every class on a link so far: those of ``joined``, connected by the further ``links``."""
+    if joined is None:
+        return own.write(connected_components(links, own), "connected")
+    if not links.take(1):
+        return joined
+    ends = [joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
+    now = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    now = own.write(connected_components(now, own), "connected")
+    later = joined.join(now.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left").select("id", F.coalesce("c", "component").alias("component"))
+    return own.write(later.unionAll(now.join(joined, "id", "left_anti")), "connected")
+
+
 def near_copy_components(docs: DataFrame, own: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, h) of every row, and (h, least, component) of every text, h: its MD5, least: its smallest id."""
     texts = docs.select(docs[id_col].alias("id"), F.md5(F.coalesce(docs[text_col], F.lit(""))).alias("h"), docs[text_col].alias("text"))
     marked = own.write(_marked(texts, *_frequent(texts)), "marked")
-    classes = marked.groupBy("h").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3", "first")])
+    classes = marked.groupBy("h").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "b0", "b1", "b2", "b3")])
     # numbered in the order of ids, as copies mostly come after what they were made of: so that is a bucket's least class
     order = [F.col("least").asc_nulls_last(), F.col("h").asc()]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = classes.repartitionByRange(n, *order).sortWithinPartitions(*order)
     classes = own.write(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     rows = own.write(marked.select("id", "h"), "rows")
-    own.drop(marked)
-    places = _dealt(classes.select("cls", "first").mapInArrow(_places, "token long, cls long, pos long"), _met, "token long, cls long, pos long")
+    firsts = marked.groupBy("h").agg(F.first("first").alias("first")).join(classes.select("h", "cls"), "h").select("cls", "first")
+    places = _dealt(firsts.mapInArrow(_places, "token long, cls long, pos long"), _met, "token long, cls long, pos long")
     places = own.write(places, "places")
+    own.drop(marked)
     sizes = classes.select("cls", "n", "b0", "b1", "b2", "b3")
     met = own.write(_dealt(places.join(sizes, "cls").select(*ROW), _spread, f"a long, b long, {LONGS}"), "met")
     own.drop(places)
@@ -271,16 +329,24 @@ def near_copy_components(docs: DataFrame, own: Scratch, id_col: str = "doc_id",
         """The pairs whose whole sets are similar; only texts that stand in pairs are read again."""
         need = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
         wanted = own.write(classes.select("h", "cls").join(need, "cls"), "wanted")
-        held = texts.select("h", "text").join(wanted, "h").groupBy("cls").agg(F.first("text").alias("text"))
-        sets = own.write(held.mapInArrow(_whole, "cls long, words binary"), "sets")
-        x, y = sets.select(F.col("cls").alias("a"), F.col("words").alias("x")), sets.select(F.col("cls").alias("b"), F.col("words").alias("y"))
+        found = _picked(texts.select(F.xxhash64("h").alias("k"), "h", "text"), "k", _marks(wanted.select(F.xxhash64("h"))))
+        held = own.write(found.join(wanted, "h").groupBy("cls").agg(F.first("text").alias("text")), "held")
+        x, y = held.select(F.col("cls").alias("a"), F.col("text").alias("x")), held.select(F.col("cls").alias("b"), F.col("text").alias("y"))
         out = own.write(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_count, "a long, b long"), "links")
         own.drop(wanted)
-        own.drop(sets)
+        own.drop(held)
         return out
 
-    links = counted(pairs)
-    joined = own.write(connected_components(links, own), "connected")
+    tried = _fingerprint_pairs(classes, own)
+    joined = _joined_by(counted(tried), None, own)
+    for least_only in (True, False):
+        left = own.write(_unconnected(pairs.join(tried, ["a", "b"], "left_anti"), joined), "left")
+        if not left.take(1):
+            break
+        if least_only:
+            left = own.write(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tree")
+        tried = tried.unionAll(left)
+        joined = _joined_by(counted(left), joined, own)
     for turn in range(ROUNDS + 1 if large.take(1) else 0):
         placed = large.join(joined, large["cls"] == joined["id"], "left").select(*ROW, F.coalesce("component", "cls").alias("c"))
         placed = own.write(placed, "placed")
@@ -295,8 +361,10 @@ def near_copy_components(docs: DataFrame, own: Scratch, id_col: str = "doc_id",
         own.drop(open_)
         if not more.take(1):
             break
-        links = links.unionAll(counted(more))
-        joined = own.write(connected_components(links, own), "connected")
+        more = own.write(more.join(tried, ["a", "b"], "left_anti"), "untried")
+        if more.take(1):
+            tried = tried.unionAll(more)
+            joined = _joined_by(counted(more), joined, own)
     out = classes.join(joined, classes["cls"] == joined["id"], "left").select("h", "least", F.coalesce("component", "cls").alias("component"))
     return rows, own.write(out, "components")
 
@@ -317,9 +385,12 @@ def keep_one_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: s
     each = each.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "n", (F.coalesce("is_kept", F.lit(False)) & F.col("id").eqNullSafe(F.col("least"))).alias("stays"))
     each = (scratch or Scratch(docs.sparkSession, "copies")).write(each.where("n > 1 OR NOT stays"), "ids")
     own.drop()
-    on = docs[id_col].eqNullSafe(each["__id"]) & (F.md5(F.coalesce(docs[text_col], F.lit(""))) == each["__h"])
-    # what goes is the smaller part, so this join moves the texts only where that part is large too
-    out = docs.join(each, on, "left_anti")
+    keyed = docs.withColumns({"__k": F.xxhash64(id_col, F.md5(F.coalesce(text_col, F.lit(""))))})
+    bits = _marks(each.select(F.xxhash64("__id", "__h")))
+    # few rows go beside those that the join is about, so it moves few texts
+    some, rest = _picked(keyed, "__k", bits).drop("__k"), _picked(keyed, "__k", bits, False).drop("__k")
+    on = some[id_col].eqNullSafe(each["__id"]) & (F.md5(F.coalesce(some[text_col], F.lit(""))) == each["__h"])
+    out = some.join(each, on, "left_anti").unionAll(rest)
     twice = each.where("stays")
     if twice.take(1):
         on = docs[id_col].eqNullSafe(twice["__id"]) & (F.md5(F.coalesce(docs[text_col], F.lit(""))) == twice["__h"])

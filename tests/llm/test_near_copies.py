@@ -83,3 +83,26 @@ def test_given_documents_by_brute_force(spark):
     got = P.near_copies(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(roots(pairs, {i for i, _ in rows}).values()))
+
+
+def test_fingerprints_by_covering_tables(spark, tmp_path, monkeypatch):
+    """The stage's first pairs come from the SimHash fingerprints of five-word runs, by the covering tables."""
+    from pairloom.llm.simhash import fingerprint, shingle_hashes
+
+    asked = []
+    real = nearcopies.link_fingerprints
+    monkeypatch.setattr(nearcopies, "link_fingerprints", lambda classes, own, radius: asked.append((sorted(r["fp"] for r in classes.collect()), radius)) or real(classes, own, radius))
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(reversed(base)), "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in P.near_copies(spark, docs, "").collect()) == [0, 2, 3]
+    fps = {int(np.array([fingerprint(np.unique(shingle_hashes(t, 5)))], np.uint64).view(np.int64)[0]) for t in texts}
+    assert asked == [(sorted(fps), 3)]
+
+
+def test_picked_rows(spark):
+    rows = spark.createDataFrame([(k, str(k)) for k in range(-500, 500)], "k long, v string")
+    bits = nearcopies._marks(rows.where("k % 7 = 0").select("k"))
+    some, rest = (sorted(r["k"] for r in nearcopies._picked(rows, "k", bits, m).collect()) for m in (True, False))
+    assert some == [k for k in range(-500, 500) if k % 7 == 0] and sorted(some + rest) == list(range(-500, 500))
+    assert nearcopies._picked(rows, "k", None).count() == 1000 and nearcopies._picked(rows, "k", None, False).count() == 0
