@@ -8,19 +8,23 @@ further: the runs of a class are ordered rarest first; two sets of similarity t
 their first n - ceil(t n) + 1 runs (prefix filtering; Chaudhuri et al., 2006), so the classes
 meet in the buckets of those runs. A meeting counts if place and size allow t (Xiao et
 al., 2008) and if the folded fingerprints, the parity of the runs in each of 256 bits,
-differ in no more bits than runs may differ. None of these filters loses a pair, and a
+differ in no more bits than runs may differ. 256 bits tell little of sets of over 500 runs,
+so each class also has a sketch, such parities in as many bits as it has runs, which a pair
+is compared by before any text is moved for it. None of these filters loses a pair, and a
 pair that is left is counted by its whole sets unless its classes are connected already.
 
 Pairs are counted in turns, each with the components of the turn before: those of the
 covering tables, one for each class (with the least class that it met), and the rest. The
-texts of a turn's classes are picked from the documents by a table of BITS bits before they
+texts of a turn's classes are picked from the documents by a table of at most BITS bits before they
 are shuffled, so a turn moves the texts that it compares and few others.
 
 Runs that one class alone has among its first ones are dropped before anything else goes
 with them. Buckets of over CENTRES + 1 classes first meet their least CENTRES classes
 only (those of the smallest ids, of which the others mostly are copies), as a stream. In buckets that are not one component yet, each class then meets the
 nearest one, by the bits, of another component, in ROUNDS rounds with new components
-each; then what is left of the pairs of different components. A bucket is worked off in
+each; then what is left of the pairs of different components. A row that met no class of
+another component in one round meets none in the next, as components only grow, so a round
+has the rows that met one in the round before. A bucket is worked off in
 blocks of at most BLOCK classes, two blocks in a task. So a group of near copies gives
 pairs in proportion to its size; a bucket of many unlike classes costs the square of its
 size in bit counts, not in pairs. The order of runs is by their counts in a sample of at most SAMPLE texts; that bears on cost
@@ -47,8 +51,10 @@ from pairloom.plans.hot import join_with_hot_keys
 from pairloom.plans.scratch import Scratch
 
 RADIUS, SAMPLE, HOT, CENTRES, ROUNDS, BLOCK = 3, 20_000, 300_000, 2, 2, 8192
-#: Of the table that texts are picked by, and the keys up to which it is of use.
+#: Of the table that texts are picked by, at most, and the keys up to which it is of use.
 BITS, KEYS = 1 << 26, 1 << 22
+#: Bits of a sketch, the least and the most.
+SKETCH = (256, 1 << 16)
 #: Rows of texts or sets that a worker has in memory at once.
 SLICE = 256
 PLACE = ["token", "cls", "pos"]
@@ -73,6 +79,21 @@ def folded(words: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((words >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
 
 
+def sketch(words: np.ndarray) -> bytes:
+    """Parity of the hashes in each of at least as many bits as there are hashes, a power of two; SKETCH bounds it."""
+    bits = min(max(SKETCH[0], 1 << (len(words) - 1).bit_length()), SKETCH[1])
+    return np.packbits((np.bincount((words & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ; the longer one is folded to the other's bits first."""
+    one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(one) > len(two):
+        one, two = two, one
+    two = np.bitwise_xor.reduce(two.reshape(-1, len(one)), axis=0)
+    return int(np.bitwise_count(one ^ two).sum())
+
+
 def similar(shared, total):
     """Whether ``shared`` of two sets of ``total`` runs together make a similarity of 0.8."""
     return 9 * shared >= 4 * total
@@ -111,9 +132,10 @@ def _marked(texts: DataFrame, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
             first = [_first(w, hot, counts).tobytes() for w in sets]
             fps = np.array([fingerprint(w) for w in sets], np.uint64).view(np.int64)
             cols = [pa.array([len(w) for w in sets], pa.int64()), pa.array(fps), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)], pa.array(first, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "h", "n", "fp", "b0", "b1", "b2", "b3", "first"])
+            cols.append(pa.array([sketch(w) for w in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "h", "n", "fp", "b0", "b1", "b2", "b3", "first", "sketch"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, h string, n long, fp long, b0 long, b1 long, b2 long, b3 long, first binary")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, h string, n long, fp long, b0 long, b1 long, b2 long, b3 long, first binary, sketch binary")
 
 
 def _table(batch: pa.RecordBatch) -> np.ndarray:
@@ -156,21 +178,21 @@ def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ok & (9 * apart <= total)
 
 
+def _pairs_and_rows(pairs: list[np.ndarray], back: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (a, b) without ROW, and ROW without a and b."""
+    ab, rows = np.concatenate([np.zeros((0, 2), np.int64), *pairs]), np.concatenate([np.zeros((0, 8), np.int64), *back])
+    n, m = len(ab), len(rows)
+    cols = [pa.concat_arrays([pa.array(np.ascontiguousarray(ab[:, k])), pa.nulls(m, pa.int64())]) for k in (0, 1)]
+    cols += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.ascontiguousarray(rows[:, k]))]) for k in range(8)]
+    return pa.RecordBatch.from_arrays(cols, names=["a", "b", *ROW])
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) with the least classes of each bucket, and the rows of buckets that have other pairs.
 
     Rows are sorted by token, then class; of a bucket that goes on no more than its least
     classes are held.
     """
-    names = ["a", "b", *ROW]
-
-    def out(pairs: list, back: list) -> pa.RecordBatch:
-        ab, rows = np.concatenate([np.zeros((0, 2), np.int64), *pairs]), np.concatenate([np.zeros((0, 8), np.int64), *back])
-        n, m = len(ab), len(rows)
-        cols = [pa.concat_arrays([pa.array(np.ascontiguousarray(ab[:, k])), pa.nulls(m, pa.int64())]) for k in (0, 1)]
-        cols += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.ascontiguousarray(rows[:, k]))]) for k in range(8)]
-        return pa.RecordBatch.from_arrays(cols, names=names)
-
     centres, large = np.zeros((0, 8), np.int64), False  # of the bucket that may go on, and whether its rows go back
     for batch in batches:
         if not batch.num_rows:
@@ -195,13 +217,14 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(hit):
                     pairs.append(np.column_stack((np.full(len(hit), bucket[k, 1]), hit)))
             centres = bucket[: CENTRES if large else CENTRES + 1]
-        yield out(pairs, back)
+        yield _pairs_and_rows(pairs, back)
 
 
 def _others(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
     """The pairs of classes that are not connected yet, of each two blocks of a bucket; rows are ROW, c, own, i, j.
 
-    ``nearest``: of each class only that with the fewest differing bits, the least of equals.
+    ``nearest``: of each class only that with the fewest differing bits, the least of equals;
+    and the rows of the classes that have one.
     """
     rest = np.zeros((0, 12), np.int64)
     for batch in _ended(batches):
@@ -235,7 +258,15 @@ def _between(rows: np.ndarray, nearest: bool) -> Iterator[pa.RecordBatch]:
         else:
             i, j = np.nonzero(np.triu(ok, 1) if within else ok)
         if len(i):
-            yield _batch(np.sort(np.column_stack((x[i, 0, 1], y[0, j, 1])), axis=1), ["a", "b"])
+            yield _pairs_and_rows([np.sort(np.column_stack((x[i, 0, 1], y[0, j, 1])), axis=1)], [x[i, 0, :8]] if nearest else [])
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches differ in no more bits than runs may differ; rows are a, b, n and sketch of each."""
+    for batch in batches:
+        total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+        ok = [9 * bits_apart(x.as_py(), y.as_py()) <= t for x, y, t in zip(batch.column(3), batch.column(5), total)]
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,10 +284,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _marks(keys: DataFrame) -> np.ndarray | None:
     """A table with the bits set that the keys, one column of longs, fall on; None if they are too many for it to tell."""
-    if keys.count() > KEYS:
+    n = keys.count()
+    if n > KEYS:
         return None
-    at = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(BITS)).alias("k")).distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(BITS // 8, np.uint8)
+    size = min(BITS, max(1 << 16, 1 << (16 * n).bit_length()))  # every task that picks holds it
+    at = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(size)).alias("k")).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(size // 8, np.uint8)
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return bits
 
@@ -268,7 +301,7 @@ def _picked(rows: DataFrame, key: str, bits: np.ndarray | None, marked: bool = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(key).to_numpy() & (BITS - 1)
+            at = batch.column(key).to_numpy() & (8 * len(bits) - 1)
             yield batch.filter(pa.array(((bits[at >> 3] >> (at & 7)) & 1 == 1) == marked))
 
     return rows.mapInArrow(run, rows.schema)
@@ -315,6 +348,8 @@ def near_copy_components(docs: DataFrame, own: Scratch, id_col: str = "doc_id",
     classes = classes.repartitionByRange(n, *order).sortWithinPartitions(*order)
     classes = own.write(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     rows = own.write(marked.select("id", "h"), "rows")
+    sketches = marked.groupBy("h").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(classes.select("h", "cls"), "h")
+    sketches = own.write(sketches.select(F.xxhash64("cls").alias("k"), "cls", "n", "sketch"), "sketches")
     firsts = marked.groupBy("h").agg(F.first("first").alias("first")).join(classes.select("h", "cls"), "h").select("cls", "first")
     places = _dealt(firsts.mapInArrow(_places, "token long, cls long, pos long"), _met, "token long, cls long, pos long")
     places = own.write(places, "places")
@@ -326,7 +361,11 @@ def near_copy_components(docs: DataFrame, own: Scratch, id_col: str = "doc_id",
     large = met.where("cls IS NOT NULL").select(*ROW)
 
     def counted(pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar; only texts that stand in pairs are read again."""
+        """The pairs whose whole sets are similar; only texts that stand in pairs are read again, and only of pairs with like sketches."""
+        ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
+        some = _picked(sketches, "k", _marks(ends.select(F.xxhash64("cls"))))
+        x, y = some.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), some.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        pairs = own.write(pairs.join(y, "b").join(x, "a").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_likely, "a long, b long"), "likely")
         need = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
         wanted = own.write(classes.select("h", "cls").join(need, "cls"), "wanted")
         found = _picked(texts.select(F.xxhash64("h").alias("k"), "h", "text"), "k", _marks(wanted.select(F.xxhash64("h"))))
@@ -356,9 +395,11 @@ def near_copy_components(docs: DataFrame, own: Scratch, id_col: str = "doc_id",
         blocked = blocked.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         blocked = blocked.select(*ROW, "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         dealt = blocked.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
-        more = own.write(dealt.mapInArrow(partial(_others, nearest=turn < ROUNDS), "a long, b long").distinct(), "others")
+        more = own.write(dealt.mapInArrow(partial(_others, nearest=turn < ROUNDS), f"a long, b long, {LONGS}").distinct(), "others")
         own.drop(placed)
         own.drop(open_)
+        large = more.where("cls IS NOT NULL").select(*ROW)
+        more = more.where("a IS NOT NULL").select("a", "b")
         if not more.take(1):
             break
         more = own.write(more.join(tried, ["a", "b"], "left_anti"), "untried")

@@ -106,3 +106,43 @@ def test_picked_rows(spark):
     some, rest = (sorted(r["k"] for r in nearcopies._picked(rows, "k", bits, m).collect()) for m in (True, False))
     assert some == [k for k in range(-500, 500) if k % 7 == 0] and sorted(some + rest) == list(range(-500, 500))
     assert nearcopies._picked(rows, "k", None).count() == 1000 and nearcopies._picked(rows, "k", None, False).count() == 0
+
+
+def test_no_text_moves_for_long_unlike_texts(spark, monkeypatch):
+    """Long texts that share a passage stand in one bucket and pass 256 bits; their sketches tell them apart."""
+    from pairloom.plans.scratch import Scratch
+
+    held, placed = [], []
+    real = Scratch.write
+
+    def write(self, df, name="t"):
+        out = real(self, df, name)
+        if name in ("held", "placed"):
+            (held if name == "held" else placed).append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", write)
+    r = random.Random(5)
+    draw = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    # runs are ordered rarest first, so the passage stands among the first runs only where a sample does not show it
+    monkeypatch.setattr(nearcopies, "HOT", 1)
+    passage, short = draw(300), draw(30)
+    texts = [" ".join([*draw(500), *passage, *draw(500)]) for _ in range(12)] + [" ".join([*short, *draw(12 + k)]) for k in range(12)]
+    texts.append(texts[0] + " more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in P.near_copies(spark, docs, "").collect()) == list(range(24))
+    assert sum(held) <= 4  # both texts of the one pair of near copies, whenever it is met
+    assert len(placed) > 1 and placed[1] < placed[0]  # rows that met no class of another component are not dealt again
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sketches_lose_no_pair(seed):
+    """Sketches of whatever lengths differ in no more bits than sets do in runs."""
+    r = np.random.default_rng(seed)
+    for n in (1, 2, 255, 256, 257, 3000):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate((x[: n - n // 9], r.integers(0, 1 << 63, n // 3).astype(np.uint64))))
+        apart = len(np.setxor1d(x, y))
+        assert nearcopies.bits_apart(nearcopies.sketch(x), nearcopies.sketch(y)) <= apart
+    z = np.unique(r.integers(0, 1 << 63, 3000).astype(np.uint64))
+    assert 9 * nearcopies.bits_apart(nearcopies.sketch(x), nearcopies.sketch(z)) > len(x) + len(z)
