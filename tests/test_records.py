@@ -204,3 +204,27 @@ def test_first_drawn_is_sample_exact(spark):
     df = spark.range(3000).selectExpr("id", "id % 3 AS v")
     for n, total in ((0, 3000), (40, 3000), (900, 3000), (2990, 3000), (50, 3_000_000), (4000, 3000)):
         assert sorted(map(tuple, first_drawn(df, n, total, 5, "id").collect())) == sorted(map(tuple, sample_exact(df, n, 5, "id").collect())), (n, total)
+
+
+def test_runs_by_first_record(spark):
+    """The pairs that the joins of two tables of pairs leave, without such a join."""
+    from pairloom.operators.pairs import block_pairs, first_marked, not_written, with_predictions
+
+    df = spark.createDataFrame([(k, f"b{k % 4}") for k in range(60)], "PATID int, block string")
+    done = df.where("PATID % 3 = 0")
+    made = block_pairs(first_marked(df, done.union(done), "done"), ["block"], carry=["done"])
+    every = block_pairs(df, ["block"])
+    written = every.where("PATID_A % 3 = 0")
+    left = sorted(map(tuple, made.where("NOT done_a").select("PATID_A", "PATID_B").collect()))
+    assert left == sorted(map(tuple, not_written(every, written).collect())) and left
+    report = with_predictions(every, written)[1].first()
+    assert (report["pairs"], report["missing"]) == (made.count(), len(left))
+
+
+@pytest.mark.parametrize("name", ["resume_anti", "missing_predictions"])
+def test_pairs_are_not_joined_by_id(spark, name):
+    from pairloom.queries import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("PATID_B" in line and "PATID_A" in line and "<" not in line for line in joins)
