@@ -131,3 +131,28 @@ def test_samplers_and_scorers(spark):
 def test_html_cards_are_escaped(spark):
     df = spark.createDataFrame([("1", "2", "<b>", "x")], "PATID_A string, PATID_B string, n_a string, n_b string")
     assert "&lt;b&gt;" in sinks.html_cards(df, ["n"])
+
+
+@pytest.mark.parametrize("probe, few", [(1 / 4096, 30), (1 / 4, 30), (1 / 4, 0), (1 / 4, 900)])
+def test_attributes_downsampled_without_moving_large_classes(spark, monkeypatch, probe, few):
+    """Repeated rows count once; of a class that is far larger than the rarest only the first drawn rows are written."""
+    import hashlib
+
+    from pairloom.operators import sampling
+    from pairloom.plans.scratch import Scratch
+
+    monkeypatch.setattr(sampling, "PROBE", probe)
+    wrote, real = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name="t": [out := real(self, df, name), wrote.append(out.count()) if name == "rows" else None][0])
+    rows = [(f"v{k}", None if k % 9 == 0 else f"w{k % 7}", 0, "x") for k in range(6000)] + [(f"p{k}", "q", 1, "x") for k in range(few)] + [("s", "t", k % 2, "y") for k in range(2)]
+    df = spark.createDataFrame(rows + rows[:500], "left_value string, right_value string, label int, attribute string")
+    got = sorted(map(str, map(tuple, sampling.downsample_attributes(df, "left_value", "right_value", "label", most=40).collect())))
+    md5 = lambda seed, r: hashlib.md5(":".join(str(v) for v in (seed, *r[:3]) if v is not None).encode()).hexdigest()
+    want = []
+    for a in "xy":
+        classes = [c for c in ([r for r in rows if r[3] == a and r[2] == y] for y in (0, 1)) if c]
+        even = [r for c in classes for r in sorted(c, key=lambda r: md5(42, r))[: min(map(len, classes))]]
+        want += sorted(even, key=lambda r: md5(43, r))[:40]
+    assert got == sorted(map(str, want))
+    if probe == 1 / 4 and few == 30:
+        assert len(wrote) == 1 and wrote[0] < 1500
