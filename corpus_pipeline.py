@@ -26,8 +26,19 @@ from pairloom.llm.substrings import remove_repeats
 from pairloom.plans.scratch import Scratch
 
 
+#: Bytes of texts in one batch for a Python worker. The JVM and the worker hold some batches
+#: of each task at once; Spark's 64 MB of each are a third of an executor of 3 GB.
+BATCH = "4m"
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    """Holds for the session from now on, as a stage is written when it has returned; no result depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def _holding(name: str, spark: SparkSession, make) -> DataFrame:
     """What ``make(scratch)`` gives, with the scratch that it reads; ``run`` drops that when the stage is written."""
+    _in_small_batches(spark)
     scratch = Scratch(spark, name)
     try:
         out = make(scratch)
@@ -60,6 +71,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return encode_whole(docs)
 
 

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 
 SPACE = 32
+#: Bytes of words that are hashed at once; a longer word is a block alone.
+BLOCK = 1 << 17
 
 
 def byte_table(separators: list[tuple[int, int]], lower: bool) -> np.ndarray:
@@ -105,15 +107,25 @@ def words(column: pa.Array, table: np.ndarray, hashed: bool = True) -> Words:
     start = np.flatnonzero(full & (edge[:-1] | np.concatenate(([True], ~full[:-1]))))
     end = np.flatnonzero(full & (edge[1:] | np.concatenate((~full[1:], [True])))) + 1
     first = np.searchsorted(start, off, "left")
-    h = np.zeros(0, np.uint64)
-    if hashed and len(start):
-        n = 1 << max(16, int(len(data)).bit_length())
-        up, down = _powers(n)
+    return Words(data, off, start, end, first, _hashes(data, start, end) if hashed else np.zeros(0, np.uint64))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word, by blocks of words: the running sums take eight bytes and more for each byte of a block."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        a = start[at]
+        to = max(at + 1, int(np.searchsorted(end, a + BLOCK, "right")))
+        n = int(end[to - 1] - a)
+        up, down = _powers(1 << max(BLOCK.bit_length(), n.bit_length()))
+        first, last = start[at:to] - a, end[at:to] - a
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-            h = mix((sums[end] - sums[start]) * down[start])
-    return Words(data, off, start, end, first, h)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTES[data[a : a + n]] * up[:n], out=sums[1:])
+            out[at:to] = mix((sums[last] - sums[first]) * down[first])
+        at = to
+    return out
 
 
 def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -76,3 +76,38 @@ def test_stages_with_odd_rows(spark):
 def test_registered():
     assert {q.split("_")[0] for q in queries()} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_words_are_hashed_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pairloom.llm import words as W
+
+    text = pa.array([" ".join(f"w{k}" for k in range(500_000)), "x" * (3 * W.BLOCK) + " y"])
+    W._powers.cache_clear()
+    tracemalloc.start()
+    got = W.words(text, W.WHITE)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * text.nbytes
+    alone = [W.words(pa.array([w]), W.WHITE).hash[0] for w in ("w0", "w77777", "w499999", "x" * (3 * W.BLOCK), "y")]
+    assert np.array_equal(got.hash[[0, 77_777, 499_999, 500_000, 500_001]], np.array(alone))
+
+
+def test_stages_send_small_batches(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)
+    docs = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "repeat('a b ', 250000) AS text", "'en' AS lang", "'s' AS source", "1000000L AS n_chars")
+    try:
+        P.encoding(spark, docs, str(tmp_path))
+
+        def sizes(batches):
+            for b in batches:
+                yield type(b).from_pydict({"size": [b.nbytes]})
+
+        assert max(r[0] for r in docs.select("text").mapInArrow(sizes, "size long").collect()) <= 8 << 20
+    finally:
+        spark.conf.set(name, held)
