@@ -11,7 +11,7 @@ from pairloom.operators import qa
 from pairloom.operators import sampling as S
 from pairloom.operators import score
 from pairloom.operators import serialize as Z
-from pairloom.operators.pairs import check_all_known, check_unique
+from pairloom.operators.pairs import block_wide, check_all_known, check_unique
 from pairloom.operators.schema import FEATURES, prepare_pairs, prepare_records
 from pairloom.plans.graph import connected_components
 from pairloom.plans.running import running_totals
@@ -156,3 +156,22 @@ def test_attributes_downsampled_without_moving_large_classes(spark, monkeypatch,
     assert got == sorted(map(str, want))
     if probe == 1 / 4 and few == 30:
         assert len(wrote) == 1 and wrote[0] < 1500
+
+
+def test_lengths_of_pairs_without_pairs(spark):
+    rng = random.Random(3)
+    fields = ["x", "y"]
+    rows = [(f"P{k}" if k % 23 else None, rng.choice([1, 2, None]), rng.choice([None, "", "\u00e9", "ab", "N/A", "long" * 9]), "z" * rng.randrange(40)) for k in range(150)]
+    records = spark.createDataFrame(rows, "PATID string, b int, x string, y string")
+    columns = [f"{f}_l" for f in fields] + [f"{f}_r" for f in fields]
+    twice = records.select("PATID", "b", *[F.col(f).alias(f"{f}_{s}") for s in "lr" for f in fields])
+    for mode in ("mode1", "mode4"):
+        texts = block_wide(records, ["b"], fields, ("l", "r")).select(Z.serialized(columns, mode).alias("text"))
+        for most in (0, 130, 150, 170, 999):
+            want = score.within_length(texts, F.length("text"), most)[1].first()
+            assert tuple(score.pairs_within_length(twice, ["b"], F.length(Z.serialized(columns, mode)), most).first()) == tuple(want)
+    assert tuple(score.pairs_within_length(twice.limit(0), ["b"], F.length("x_l"), 9).first()) == (0, 0)
+    from pairloom.queries import registry
+
+    plan = registry.queries()["token_lengths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__tile" not in plan  # of pairs that are made
