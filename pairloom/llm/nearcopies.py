@@ -24,7 +24,11 @@ only (those of the smallest ids, of which the others mostly are copies), as a st
 nearest one, by the bits, of another component, in ROUNDS rounds with new components
 each; then what is left of the pairs of different components. A row that met no class of
 another component in one round meets none in the next, as components only grow, so a round
-has the rows that met one in the round before. A bucket is worked off in
+has the rows that met one in the round before. From the second round on sets of over 256
+runs come with their sketches, folded to NARROW bits, and meet only if those allow it too: else
+long unlike texts that share a passage would meet in the bucket of each of its runs, in
+every round, and in all pairs in the last. The first round gives a row for each that it is dealt,
+at most. A bucket is worked off in
 blocks of at most BLOCK classes, two blocks in a task. So a group of near copies gives
 pairs in proportion to its size; a bucket of many unlike classes costs the square of its
 size in bit counts, not in pairs. The order of runs is by their counts in a sample of at most SAMPLE texts; that bears on cost
@@ -55,6 +59,8 @@ RADIUS, SAMPLE, HOT, CENTRES, ROUNDS, BLOCK = 3, 20_000, 300_000, 2, 2, 8192
 BITS, KEYS = 1 << 26, 1 << 22
 #: Bits of a sketch, the least and the most.
 SKETCH = (256, 1 << 16)
+#: Bits to which a sketch is folded where it goes with a row of a bucket, and bytes of sketches compared at once.
+NARROW, COMPARED = 1 << 14, 1 << 23
 #: Rows of texts or sets that a worker has in memory at once.
 SLICE = 256
 PLACE = ["token", "cls", "pos"]
@@ -221,19 +227,31 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _others(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
-    """The pairs of classes that are not connected yet, of each two blocks of a bucket; rows are ROW, c, own, i, j.
+    """The pairs of classes that are not connected yet, of each two blocks of a bucket; rows are ROW, c, own, i, j and may have a sketch.
 
-    ``nearest``: of each class only that with the fewest differing bits, the least of equals;
-    and the rows of the classes that have one.
+    ``nearest``: of each class only that with the fewest differing bits, the least of equals,
+    in one row with the class's own ROW.
     """
-    rest = np.zeros((0, 12), np.int64)
+    rest, marks = np.zeros((0, 12), np.int64), np.zeros(0, object)
     for batch in _ended(batches):
-        rows = rest if batch is None else np.concatenate((rest, _table(batch)))
+        rows = rest
+        if batch is not None:
+            rows, marks = np.concatenate((rest, _table(batch.select(range(12))))), np.concatenate((marks, _sketches(batch)))
         cut = np.flatnonzero((rows[1:, [0, 10, 11]] != rows[:-1, [0, 10, 11]]).any(axis=1)) + 1
         edge = [0, *cut.tolist(), *([len(rows)] if batch is None and len(rows) else [])]
         for a, b in zip(edge[:-1], edge[1:]):
-            yield from _between(rows[a:b], nearest)
-        rest = rows[edge[-1] :]
+            yield from _between(rows[a:b], marks[a:b], nearest)
+        rest, marks = rows[edge[-1] :], marks[edge[-1] :]
+
+
+def _sketches(batch: pa.RecordBatch) -> np.ndarray:
+    """The sketch of each row, of at most NARROW bits, or None."""
+    out = np.full(batch.num_rows, None, object)
+    for k, x in enumerate(batch.column(12) if batch.num_columns > 12 else ()):
+        if x.is_valid:
+            got = np.frombuffer(x.as_py(), np.uint64)
+            out[k] = np.bitwise_xor.reduce(got.reshape(-1, min(len(got), NARROW // 64)), axis=0)
+    return out
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -241,24 +259,56 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def _between(rows: np.ndarray, nearest: bool) -> Iterator[pa.RecordBatch]:
-    mine = rows[rows[:, 9] == rows[0, 10]]
+def _by_width(marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sketches of over 256 bits, folded to 512 bits, 1024 and so on: which rows have that many, and a table of theirs."""
+    size = np.array([0 if x is None else len(x) for x in marks], np.int64)
+    words = 8
+    while (at := np.flatnonzero(size >= words)).size > 1:
+        yield at, np.stack([np.bitwise_xor.reduce(marks[k].reshape(-1, words), axis=0) for k in at])
+        words *= 2
+
+
+def _unlike(i: np.ndarray, j: np.ndarray, total: np.ndarray, widths: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which of the pairs (i, j) have sketches that differ in more bits than runs may differ; fewer bits are compared first."""
+    out = np.zeros(len(i), bool)
+    for at, table in widths:
+        step = max(1, COMPARED // table[0].nbytes)
+        left = np.flatnonzero(~out & np.isin(i, at) & np.isin(j, at))
+        for k in range(0, len(left), step):
+            one = left[k : k + step]
+            apart = np.bitwise_count(table[np.searchsorted(at, i[one])] ^ table[np.searchsorted(at, j[one])]).sum(axis=1, dtype=np.int64)
+            out[one] = 9 * apart > total[one]
+    return out
+
+
+def _between(rows: np.ndarray, marks: np.ndarray, nearest: bool) -> Iterator[pa.RecordBatch]:
+    every = np.arange(len(rows))
+    mine = every[rows[:, 9] == rows[0, 10]]
     within = rows[0, 10] == rows[0, 11]
-    theirs = mine if within else rows[rows[:, 9] == rows[0, 11]]
+    theirs = mine if within else every[rows[:, 9] == rows[0, 11]]
     if nearest:
-        mine = theirs = rows
+        mine = theirs = every
     block = max(1, (1 << 18) // max(len(theirs), 1))
+    widths = list(_by_width(marks))
     for at in range(0, len(mine), block):
-        x, y = mine[at : at + block, None], theirs[None, at if within and not nearest else 0 :]
+        own, other = mine[at : at + block], theirs[at if within and not nearest else 0 :]
+        x, y = rows[own, None], rows[None, other]
         ok = _meet(x, y) & (x[..., 8] != y[..., 8])
+        if not nearest and within:
+            ok = np.triu(ok, 1)
+        if widths:
+            i, j = np.nonzero(ok)
+            no = _unlike(own[i], other[j], rows[own[i], 2] + rows[other[j], 2], widths)
+            ok[i[no], j[no]] = False
         if nearest:
             apart = np.where(ok, sum(np.bitwise_count((x[..., k] ^ y[..., k]).view(np.uint64)).astype(np.int64) for k in (4, 5, 6, 7)), 1 << 20)
             i = np.flatnonzero(ok.any(axis=1))
             j = apart[i].argmin(axis=1)
         else:
-            i, j = np.nonzero(np.triu(ok, 1) if within else ok)
+            i, j = np.nonzero(ok)
         if len(i):
-            yield _pairs_and_rows([np.sort(np.column_stack((x[i, 0, 1], y[0, j, 1])), axis=1)], [x[i, 0, :8]] if nearest else [])
+            pairs = np.sort(np.column_stack((rows[own[i], 1], rows[other[j], 1])), axis=1)
+            yield _batch(np.column_stack((pairs, rows[own[i], :8])), ["a", "b", *ROW]) if nearest else _pairs_and_rows([pairs], [])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,12 +444,16 @@ def near_copy_components(docs: DataFrame, own: Scratch, id_col: str = "doc_id",
         blocked = join_with_hot_keys(placed, open_, "token", "n_rows", placed.count()).where("blocks IS NOT NULL")
         blocked = blocked.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         blocked = blocked.select(*ROW, "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        if turn:
+            few = blocked.where(F.col("n") > SKETCH[0]).select("cls").distinct()
+            few = _picked(sketches, "k", _marks(few.select(F.xxhash64("cls")))).where(F.col("n") > SKETCH[0]).select("cls", "sketch")
+            blocked = blocked.join(few, "cls", "left").select(*blocked.columns, "sketch")
         dealt = blocked.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
-        more = own.write(dealt.mapInArrow(partial(_others, nearest=turn < ROUNDS), f"a long, b long, {LONGS}").distinct(), "others")
+        more = own.write(dealt.mapInArrow(partial(_others, nearest=turn < ROUNDS), f"a long, b long, {LONGS}"), "others")
         own.drop(placed)
         own.drop(open_)
-        large = more.where("cls IS NOT NULL").select(*ROW)
-        more = more.where("a IS NOT NULL").select("a", "b")
+        large = more.where("cls IS NOT NULL").select(*ROW).distinct()
+        more = more.select("a", "b").distinct()
         if not more.take(1):
             break
         more = own.write(more.join(tried, ["a", "b"], "left_anti"), "untried")

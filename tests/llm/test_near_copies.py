@@ -146,3 +146,57 @@ def test_sketches_lose_no_pair(seed):
         assert nearcopies.bits_apart(nearcopies.sketch(x), nearcopies.sketch(y)) <= apart
     z = np.unique(r.integers(0, 1 << 63, 3000).astype(np.uint64))
     assert 9 * nearcopies.bits_apart(nearcopies.sketch(x), nearcopies.sketch(z)) > len(x) + len(z)
+
+
+def test_unlike_long_texts_meet_once(spark, monkeypatch):
+    """Long unlike texts that share a passage give a row for each that the first round is dealt, and none later."""
+    from pairloom.plans.scratch import Scratch
+
+    made, placed = [], []
+    real = Scratch.write
+
+    def write(self, df, name="t"):
+        out = real(self, df, name)
+        if name in ("others", "placed"):
+            (made if name == "others" else placed).append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", write)
+    monkeypatch.setattr(nearcopies, "HOT", 1)
+    r = random.Random(7)
+    draw = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = draw(300)
+    texts = [" ".join([*draw(600), *passage, *draw(600)]) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in P.near_copies(spark, docs, "").collect()) == list(range(20))
+    assert 200 < made[0] <= placed[0]
+    assert sum(made[1:]) == 0
+
+
+@pytest.mark.parametrize("size, narrow, compared", [(1, 1 << 14, 1 << 23), (7, 1 << 14, 1000), (400, 512, 1)])
+def test_sketches_of_buckets(monkeypatch, size, narrow, compared):
+    """Of two blocks of a bucket no similar pair is lost and no unlike one stays, however rows are cut; a row without a sketch meets by 256 bits."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(nearcopies, "NARROW", narrow)
+    monkeypatch.setattr(nearcopies, "COMPARED", compared)
+    r = np.random.default_rng(3)
+    fresh = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+    sets = []
+    for n in (300, 700, 700, 1500, 3000):
+        base = fresh(n)
+        sets += [np.unique(np.concatenate((base[k * n // 60 :], fresh(k * n // 60)))) for k in range(4)]
+    sets += [sets[4], fresh(20)]
+    known = {k for k in range(len(sets)) if k not in (5, len(sets) - 1)}
+    rows = [(t, k, len(w), 0, *nearcopies.folded(w), k, k % 2, i, j) for t in (1, 2) for i, j in ((0, 0), (0, 1), (1, 1)) for k, w in enumerate(sets) if k % 2 in (i, j)]
+    names = [*nearcopies.ROW, "c", "own", "i", "j"]
+    whole = nearcopies._batch(np.array(rows, np.int64), names).append_column("sketch", pa.array([nearcopies.sketch(sets[x[1]]) if x[1] in known else None for x in rows], pa.binary()))
+    cut = [whole.slice(k, size) for k in range(0, whole.num_rows, size)]
+    similar = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if nearcopies.similar(len(np.intersect1d(sets[a], sets[b])), len(sets[a]) + len(sets[b]))}
+    pairs = [(x["a"], x["b"]) for b in nearcopies._others(iter(cut), False) for x in b.to_pylist()]
+    assert len(pairs) == 2 * len(set(pairs)) and similar <= set(pairs) and len(similar) > 20
+    if narrow > 512:
+        assert all({5} & set(p) or p[0] // 4 == p[1] // 4 or 20 in p for p in pairs)
+    near = [x for b in nearcopies._others(iter(cut), True) for x in b.to_pylist()]
+    assert {x["cls"] for x in near} == {k for p in pairs for k in p}
+    assert {(x["a"], x["b"]) for x in near} <= set(pairs) and all(x["cls"] in (x["a"], x["b"]) for x in near)
